@@ -59,7 +59,7 @@ _CODE = regex.compile(
     r"|(?P<name>\(?\*?\w+\)?(?:::|\.)\w{3,}(?=\W|$)(?<=\w[a-z_A-Z0-9]{2})(?:\(\))?|\b_*[A-Za-z]{2,}\d*_\w+|\b[a-z]{3,}[A-Z][a-z]{2,}\w*|\b(?:[A-Z][a-z]{2,}){2,}\w*)"
     r"|(?P<user>(?<!\w)@[\p{L}\p{N}_]+)"
     r"|(?P<hash>\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b)"
-    r"|(?P<num>(?<![\p{L}\p{N}])\d+(?:[.,:]\d+)*(?![\p{L}\p{N}@$!]))"
+    r"|(?P<num>(?<![\p{L}\p{N}@$!*#%])\d+(?:[.,:]\d+)*(?![\p{L}\p{N}@$!]))"
 )
 _PIECE = regex.compile(r"<\w+>|[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}<>])[^\s,;:.?!()\[\]{}\"“”„«»、，。：；…=~`^/\\]|[!.:](?=\p{L}))+")
 _SPELLED = regex.compile(r"^\p{L}(?:[.\-_*·+|]\p{L}){2,}$")
@@ -314,17 +314,19 @@ def votes(labels: DataFrame, doc: str, reviewer: str, label: str, at: str) -> Da
 def train(documents: DataFrame, opinions: DataFrame, doc: str, text: str, most: int = TRAIN_DOCUMENTS) -> Model:
     """A model fitted by one task on at most ``most`` labelled documents, which a hash of the id picks.
 
-    Only labelled documents are shuffled, and only the weights come to the driver.
+    Only labelled documents are shuffled, and only the weights come to the driver. Without labels the
+    model knows nothing and reports nothing.
     """
     labelled = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(opinions, "doc")
     picked = labelled.orderBy(F.xxhash64("doc"), "doc").limit(most).repartition(1)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames) or [pd.DataFrame({"text": [], "votes_for": [], "votes_against": []})])
+        rows = pd.concat(list(frames)).sort_values("doc", kind="stable")
         made = fit(rows["text"].tolist(), rows["votes_for"].to_numpy(float), rows["votes_against"].to_numpy(float))
         yield pd.DataFrame({"model": [made.dumps()]})
 
-    return Model.loads(picked.select("text", "votes_for", "votes_against").mapInPandas(learn, "model string").first()["model"])
+    learned = picked.select("doc", "text", "votes_for", "votes_against").mapInPandas(learn, "model string").first()
+    return Model.loads(learned["model"]) if learned else Model({}, BIAS)
 
 
 def score(documents: DataFrame, doc: str, text: str, model: Model) -> DataFrame:
