@@ -50,3 +50,12 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many tasks as the session has cores, for work that is heavy on each row.
+
+    Only an input of fewer tasks, a few small files, is redistributed; large ones stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
