@@ -9,11 +9,12 @@ locate what offends.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ _TO_LATIN = str.maketrans(_LOOKALIKES)
 _TO_CYRILLIC = str.maketrans({latin: other for other, latin in reversed(_LOOKALIKES.items()) if "Ѐ" <= other <= "ӿ" and other in "авсекмнортух"})
 _FROM_SIGNS = str.maketrans(_SIGNS)
 
-_ENDS = regex.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][)\"'”’»]))[ \t ]+|[\r\n\v\f\u0085  ]+|(?<=[。！？؟])")
+_ENDS = re.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][)\"'”’»]))[ \t ]+|[\r\n\v\f\u0085  ]+|(?<=[。！？؟])")
 _INVISIBLE = regex.compile(r"[\p{Cf}︀-️͏]+")
 _MARKS = regex.compile(r"[̀-ͯ]+")
 _LEAD = regex.compile(r"^\s*(?:\[\d{1,2}:\d\d\]\s*)?(?:@\w+:\s*)?(?:[>*|#/+\-]+\s*)*")
@@ -80,6 +81,7 @@ def _plain(text: str) -> str:
     return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", text)))
 
 
+@lru_cache(maxsize=KNOWN_WORDS)
 def _word(raw: str, cyrillic: bool) -> str:
     """A word without disguise: one script, no spelling out, no signs for letters, no stretching."""
     word = raw
@@ -99,25 +101,37 @@ def _word(raw: str, cyrillic: bool) -> str:
     return _REPEATED.sub(r"\1", word)
 
 
+@lru_cache(maxsize=KNOWN_WORDS)
+def _pieces(token: str) -> tuple[str, ...]:
+    """The parts of what stands between blanks, in lower case, with placeholders for code names, paths, users and numbers."""
+    if not (token.isalpha() and (token.islower() or token[1:].islower())):
+        token = _CODE.sub(lambda m: f" <{m.lastgroup}> ", token)
+    return tuple(_PIECE.findall(token.lower()))
+
+
+def _is_single(piece: str) -> bool:
+    return len(piece) == 1 and piece.isalpha() and not "\u3000" <= piece <= "\u9fff"
+
+
 def words_of(sentence: str) -> list[str]:
-    """The words of a sentence, with placeholders for code names, paths, users and numbers."""
+    """The words of a sentence without disguise and with placeholders; letters that stand alone in a row are one word."""
     text = _LEAD.sub("", _plain(sentence), count=1)
-    text = _CODE.sub(lambda m: f" <{m.lastgroup}> ", text).lower()
-    letters = Counter("c" if "Ѐ" <= c <= "ӿ" else "l" for c in text if c.isalpha())
-    cyrillic = letters["c"] > letters["l"]
+    cyrillic = False
+    if not text.isascii():
+        other = sum("\u0400" <= c <= "\u04ff" for c in text)
+        cyrillic = other > sum(c.isalpha() for c in text) - other
     pieces: list[str] = []
     single: list[str] = []
-    for piece in [*_PIECE.findall(text), ""]:
-        if len(piece) == 1 and piece.isalpha() and not "　" <= piece <= "鿿" or piece in ("@", "$", "0", "1", "3", "4", "5") and single:
-            single.append(piece)
-            continue
-        if len(single) >= 3:
-            pieces.append(_word("".join(single), cyrillic))
-        else:
-            pieces += single
-        single = []
-        if piece:
-            pieces.append(piece if piece[0] == "<" else _word(piece, cyrillic))
+    for token in [*text.split(), ""]:
+        for piece in _pieces(token) if token else ("",):
+            if _is_single(piece) or (single and piece in ("@", "$", "0", "1", "3", "4", "5")):
+                single.append(piece)
+                continue
+            if single:
+                pieces += [_word("".join(single), cyrillic)] if len(single) >= 3 else single
+                single = []
+            if piece:
+                pieces.append(piece if piece[0] == "<" else _word(piece, cyrillic))
     return [p for p in pieces if p]
 
 

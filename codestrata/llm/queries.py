@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import abuse, packing, quantiles, tokenizer, topn
 from codestrata.plans.registry import Registry
+from codestrata.session import spread
 from codestrata.tables import folded, holding, read, reference
 
 registry = Registry()
@@ -111,7 +112,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    return tokenizer.encode_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokenizer.encode_texts(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
@@ -122,7 +123,7 @@ def capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
-    sizes = tokenizer.count_tokens(documents, "doc_id", "text")
+    sizes = tokenizer.count_tokens(spread(documents.select("doc_id", "text")), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "tokens", capacities(spark, sf_dir), documents.count())
 
 
@@ -144,7 +145,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     opinions = abuse.votes(read(spark, sf_dir, "doc_labels"), "doc_id", "reviewer", "label", "labelled_at")
-    return abuse.score(documents, "doc_id", "text", abuse.train(documents, opinions, "doc_id", "text"))
+    return abuse.score(spread(documents), "doc_id", "text", abuse.train(documents, opinions, "doc_id", "text"))
 
 
 @registry.add("p10_found")
