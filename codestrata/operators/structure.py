@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.operators.policy import SKIPPED
+from codestrata.tables import blank_trim
 
 MAX_METADATA_BYTES = 1024 * 1024
 MAX_ENTRY_POINTS = 10
@@ -108,7 +109,7 @@ def build_roots(files: DataFrame) -> DataFrame:
     package = F.from_json(F.col("meta")["package.json"], "dependencies map<string,string>, devDependencies map<string,string>")
     used = F.concat(F.coalesce(F.map_keys(package["dependencies"]), F.array().cast("array<string>")), F.coalesce(F.map_keys(package["devDependencies"]), F.array().cast("array<string>")))
     runner = F.coalesce(*[F.when(F.array_contains(used, r), F.lit(r)) for r in ("jest", "vitest", "mocha", "jasmine")], F.lit(""))
-    readable = package.isNotNull() & F.col("meta")["package.json"].rlike(r"^\s*\{")
+    readable = F.try_parse_json(F.col("meta")["package.json"]).isNotNull()
     tool = (
         F.when((F.col("first.name") == "package.json") & readable & F.col("yarn"), "yarn")
         .when((F.col("first.name") == "package.json") & readable & F.col("pnpm"), "pnpm")
@@ -130,7 +131,7 @@ def _found(text: Column, *patterns: str) -> Column:
 
 def runtime_image(tool: Column, meta: Column, csproj: Column) -> Column:
     """The image that runs a build, from version files of its directory (a map by name), else a default."""
-    of = lambda name: F.trim(meta[name])
+    of = lambda name: blank_trim(meta[name])
     image = lambda prefix, version, suffix, default: F.concat(F.lit(prefix), F.coalesce(version, F.lit(default)), F.lit(suffix))
     channel = F.coalesce(_found(meta["rust-toolchain.toml"], r'channel\s*=\s*"([^"]+)"'), F.nullif(of("rust-toolchain"), F.lit("")))
     numbered = _found(channel, r"^(\d+\.\d+)")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.tables import blank_trim
+
 
 def changed_files(lines: DataFrame) -> DataFrame:
     """The files named, one row per line; blank lines are dropped, repeated ones kept."""
-    return lines.select(F.trim("value").alias("file")).where("file <> ''")
+    return lines.select(blank_trim("value").alias("file")).where("file <> ''")
 
 
 def churn(lines: DataFrame) -> DataFrame:
