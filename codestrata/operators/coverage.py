@@ -320,3 +320,41 @@ def coverage_metrics(files: DataFrame, keys: list[str]) -> DataFrame:
 def warnings(messages: DataFrame) -> DataFrame:
     """Distinct messages in order."""
     return messages.select("message").where("message is not null").distinct().orderBy("message")
+
+
+# What produces coverage, by language (and tool or test runner where it matters).
+_COMMANDS = {
+    "go": "go test -coverprofile=coverage.out -covermode=atomic -timeout=90s -p=4 ./...",
+    "python": "python3 -m pytest --cov=. --cov-report=xml:coverage.xml -q --tb=no --no-header",
+    "rust": "cargo llvm-cov --lcov --output-path lcov.info",
+    "php": "phpunit --coverage-clover clover.xml",
+    "ruby": "bundle exec rspec",
+    "maven": "mvn test jacoco:report",
+    "gradle": "gradle test jacocoTestReport",
+    "jest": "jest --coverage --coverageReporters=lcov --coverageDirectory=coverage --passWithNoTests --forceExit",
+    "vitest": "vitest run --coverage --coverage.reporter=lcov --coverage.reportsDirectory=coverage",
+}
+
+
+def coverage_command(language: Column, tool: Column, test_runner: Column) -> Column:
+    """The command, as words, that produces coverage for a build root in isolation; NULL if none is known."""
+    lower, runner = F.lower(language), F.lower(test_runner)
+    key = (
+        F.when(lower.isin("go", "python", "rust", "php", "ruby"), lower)
+        .when(lower.isin("java", "kotlin") & tool.isin("maven", "gradle"), tool)
+        .when(lower.isin("typescript/js", "javascript", "typescript") & runner.isin("jest", "vitest"), runner)
+    )
+    return F.split(F.create_map(*[F.lit(x) for pair in _COMMANDS.items() for x in pair])[key], " ")
+
+
+def first_with_candidates(sources: list[tuple[str, DataFrame | None]], executors: int = 0) -> tuple[str | None, DataFrame | None]:
+    """The first source (name, artifacts) that has any artifact, in order of precedence.
+
+    A later source is used only where the earlier ones have none. Two executors at once are an error.
+    """
+    if executors > 1:
+        raise ValueError("only one of isolated and local execution can be used")
+    for name, artifacts in sources:
+        if artifacts is not None and not artifacts.isEmpty():
+            return name, artifacts
+    return None, None
