@@ -294,7 +294,7 @@ def fn_06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     "fn_07_strings",
-    "select id, upper(branch) as up, replace(branch, '/', '-') as dashed, string_split(branch, '/')[1] as head, starts_with(branch, 'feature') as is_feature, contains(branch, 'fix') as has_fix, len(string_split(branch, '/')) as parts, length(branch) - length(replace(branch, '-', '')) as dashes from analysis_runs where branch is not null",
+    "select id, upper(branch) as up, replace(branch, '/', '-') as dashed, string_split(branch, '/')[1] as head, starts_with(branch, 'feature') as is_feature, contains(branch, 'fix') as has_fix, cast(len(string_split(branch, '/')) as integer) as parts, cast(length(branch) - length(replace(branch, '-', '')) as integer) as dashes from analysis_runs where branch is not null",
 )
 def fn_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("branch")
@@ -325,14 +325,14 @@ def fn_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registry.add("fn_12_json", "select id, case when json_valid(metadata) then json_extract_string(metadata, '$.engine') end as engine, len(refactoring_suggestions) as suggestions from complexity_metrics where metadata is not null")
+@registry.add("fn_12_json", "select id, case when json_valid(metadata) then json_extract_string(metadata, '$.engine') end as engine, cast(len(refactoring_suggestions) as integer) as suggestions from complexity_metrics where metadata is not null")
 def fn_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested values stay nested; JSON text that is broken gives NULL."""
     parsed = F.from_json("metadata", "engine string")
     return read(spark, sf_dir, "complexity_metrics").where("metadata is not null").select("id", parsed["engine"].alias("engine"), F.when(F.col("refactoring_suggestions").isNotNull(), F.size("refactoring_suggestions")).alias("suggestions"))
 
 
-@registry.add("fn_14_arrays", "select id, len(auth_providers) as n, list_contains(auth_providers, 'github') as has_github, array_to_string(list_sort(list_distinct(list_append(auth_providers, 'password'))), ',') as merged, array_to_string(auth_providers[1:1], ',') as head from users where auth_providers is not null")
+@registry.add("fn_14_arrays", "select id, cast(len(auth_providers) as integer) as n, list_contains(auth_providers, 'github') as has_github, array_to_string(list_sort(list_distinct(list_append(auth_providers, 'password'))), ',') as merged, array_to_string(auth_providers[1:1], ',') as head from users where auth_providers is not null")
 def fn_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("auth_providers")
     return read(spark, sf_dir, "users").where("auth_providers is not null").select(

@@ -114,7 +114,7 @@ def dist_01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     "topk_01_new_issues",
-    _v(f"select run_id, place, id from (select r.id as run_id, row_number() over (partition by r.id order by {_RANK.replace('severity', 'i.severity', 1)}, i.created_at desc nulls first, i.id) as place, i.id from i join r on r.id = i.analysis_run_id where i.status = 'open' and i.created_at >= r.started_at) where place <= 5"),
+    _v(f"select run_id, cast(place as integer) as place, id from (select r.id as run_id, row_number() over (partition by r.id order by {_RANK.replace('severity', 'i.severity', 1)}, i.created_at desc nulls first, i.id) as place, i.id from i join r on r.id = i.analysis_run_id where i.status = 'open' and i.created_at >= r.started_at) where place <= 5"),
 )
 def topk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most severe new issues of every run."""

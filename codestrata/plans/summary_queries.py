@@ -228,7 +228,7 @@ def rs_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@registry.add("join_13_config_files", "select path, category, kind, n from (values " + ", ".join(f"('{n}', '{c}', '{k}')" for n, (c, k) in structure.CONFIG_FILES.items()) + ") v(name, category, kind) join (select distinct regexp_replace(file_path, '[^/]*$', '') || ['go.mod', 'Dockerfile', 'tsconfig.json', 'main.go'][1 + length(file_path) % 4] as path, length(file_path) as n from technical_debt_issues where file_path is not null) f on regexp_replace(f.path, '^.*/', '') = v.name")
+@registry.add("join_13_config_files", "select path, category, kind, n from (values " + ", ".join(f"('{n}', '{c}', '{k}')" for n, (c, k) in structure.CONFIG_FILES.items()) + ") v(name, category, kind) join (select distinct regexp_replace(file_path, '[^/]*$', '') || ['go.mod', 'Dockerfile', 'tsconfig.json', 'main.go'][1 + length(file_path) % 4] as path, cast(length(file_path) as integer) as n from technical_debt_issues where file_path is not null) f on regexp_replace(f.path, '^.*/', '') = v.name")
 def join_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configuration files by name; files of issues are renamed to stand for some."""
     names = F.array(*[F.lit(n) for n in ("go.mod", "Dockerfile", "tsconfig.json", "main.go")])
