@@ -27,12 +27,12 @@ from pyspark.sql import types as T
 from codestrata.tables import folded
 
 #: Labelled documents a model is fitted on at most, picked by a hash of the id.
-TRAIN_DOCUMENTS = 12_000
+TRAIN_DOCUMENTS = 25_000
 THRESHOLD = 0.5
 #: A document is reported only if a sentence of this score can be shown; many harmless sentences add up otherwise.
 SENTENCE_THRESHOLD = 0.25
 STEPS = 100
-PENALTY = 2e-4
+PENALTY = 4e-5
 #: The logit of a sentence of which nothing is known.
 BIAS = -5.0
 FOLDS = 5
@@ -309,7 +309,7 @@ def fit(texts: list[str | None], votes_for: np.ndarray, votes_against: np.ndarra
     for k in range(FOLDS):
         weight, bias = bags.optimise(np.where(fold == k, 1.0, yes), np.where(fold == k, 1.0, no), steps // 2, penalty)
         seen[fold == k] = 1 - np.exp(-bags.totals(weight, bias)[1][fold == k])
-    seen = np.clip(seen, 0.03, 0.97)
+    seen = np.clip(seen, 0.08, 0.97)
     likely = seen * yes / (seen * yes + (1 - seen) * no)
     weight, bias = bags.optimise(likely, 1 - likely, steps, penalty)
     return Model({int(n): round(float(w), 4) for n, w in zip(bags.names, weight, strict=True) if abs(w) >= 0.01}, bias)
