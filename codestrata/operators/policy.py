@@ -55,6 +55,11 @@ def is_skipped_directory(name: Column) -> Column:
     return F.lower(name).isin(*SKIPPED)
 
 
+def is_vendored(path: Column) -> Column:
+    """The smaller set of trees that language statistics leave out."""
+    return F.arrays_overlap(F.split(slashed(path), "/"), F.array(*[F.lit(d) for d in (".git", "node_modules", "vendor")]))
+
+
 def with_language(files: DataFrame, path: str) -> DataFrame:
     """Files that an analyzer reads, with its language; the table of extensions is a fixed map of 23 entries."""
     pairs = F.create_map(*[F.lit(x) for pair in ANALYZABLE.items() for x in pair])

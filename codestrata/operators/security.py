@@ -15,9 +15,9 @@ REPORT = """Results array<struct<Target: string,
 COLUMNS = ["file_path", "line_number", "category", "severity", "message", "description", "tool_rule_id", "debt_hours"]
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files, one JSON document each, with the schema given."""
-    return spark.read.schema(REPORT).json(path, multiLine=True)
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Report files with the schema given: one JSON document each, or one in each line."""
+    return spark.read.schema(REPORT).json(path, multiLine=not lines)
 
 
 def parse_reports(texts: DataFrame, column: str) -> DataFrame:
