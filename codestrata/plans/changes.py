@@ -11,7 +11,7 @@ from codestrata.operators.references import Reference, orphan_counts, orphan_ref
 from codestrata.operators.rolling import peak_days, trailing_totals
 from codestrata.operators.snapshots import snapshot_changes
 from codestrata.plans.registry import Registry
-from codestrata.tables import folded, holding, micros, read, reference
+from codestrata.tables import folded, holding, micros, read, reference, utc_day
 
 registry = Registry()
 SPANS = [7, 30]
@@ -178,7 +178,7 @@ P5_ROLLING_SQL = P5_CTE + " select repo as repository_id, strftime(d, '%Y-%m-%d'
 
 
 def debt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "repository_metrics_snapshots").select(F.col("repository_id").alias("entity"), F.to_date("snapshot_date").alias("day"), "created_at", "id", F.col("technical_debt_hours").alias("amount"))
+    rows = read(spark, sf_dir, "repository_metrics_snapshots").select(F.col("repository_id").alias("entity"), utc_day("snapshot_date").alias("day"), "created_at", "id", F.col("technical_debt_hours").alias("amount"))
     return trailing_totals(holding(rows, ["entity", "day"], ["created_at", "id"], ["amount"]), SPANS)
 
 

@@ -75,8 +75,9 @@ def sort_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = issues(spark, sf_dir, "tool_name", "file_path", "line_number", "message")
     ordered = rows.orderBy("tool_name", "file_path", F.coalesce("line_number", F.lit(0)), "message", "id").select("id")
     numbered = ordered.withColumn("n", F.monotonically_increasing_id()).withColumn("part", F.shiftright("n", 33)).withColumn("within", F.col("n").bitwiseAND((1 << 33) - 1))
-    sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("p")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
+    # one row per task is ordered here
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = numbered.groupBy("part").agg(F.count("*").alias("size")).select(F.col("part").alias("p"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
     return numbered.join(before, F.col("part") == F.col("p")).select((F.col("before") + F.col("within") + 1).alias("place"), "id")
 
 

@@ -40,6 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote for this application; to be called once all results are consumed."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write ``df`` once to the shared folder as Parquet and return its path.
 
@@ -47,6 +60,7 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     where ``checkpoint()`` computes its input twice.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path

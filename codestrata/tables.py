@@ -39,6 +39,11 @@ def micros(col: Column | str) -> Column:
     return F.unix_micros(F.col(col) if isinstance(col, str) else col)
 
 
+def utc_day(col: Column | str) -> Column:
+    """The UTC day of a timestamp, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(micros(col) / 86_400_000_000).cast("int"))
+
+
 def holding(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """For each key the row that is greatest by ``order``; other ties are settled by the values.
 

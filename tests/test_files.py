@@ -6,12 +6,14 @@ from threading import Event
 
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codestrata import scan
 from codestrata.functions.text import clean_path, relative_path
 from codestrata.operators import policy, structure
 from codestrata.runner import Cancelled, Result, run
+from codestrata.session import materialize, release, shared_dir, spread
 from codestrata.sources import trees
 from codestrata.sources.gitlog import changed_files, churn, commits
 from codestrata.sources.versions import VersionedTable
@@ -214,3 +216,17 @@ def test_versions(spark, tmp_path):
     old = table.current()
     table.write(table.read().where("id > 0"))
     assert rows(table.read()) == [(1,), (2,)] and table.current() != old
+
+
+def test_materialized_tables_are_released(spark):
+    path = materialize(spark.range(3), "test")
+    assert spark.read.parquet(path).count() == 3 and path.startswith(shared_dir(spark))
+    assert release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
+def test_spread(spark):
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 64)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many) is many
+    assert spread(few).count() == 100
