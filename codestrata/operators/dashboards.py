@@ -16,8 +16,12 @@ def with_trend(rows: DataFrame, keys: list[str], order: str, value: str) -> Data
 
 
 def daily_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Totals over all repositories per day, from rows with repository_id, day and measures, one for each pair."""
-    return snapshots.groupBy("day").agg(F.count("*").alias("repositories"), F.sum("total_issues_count").alias("total_issues"), F.sum("technical_debt_hours").alias("debt_hours"), F.avg("test_coverage_percentage").alias("avg_coverage"))
+    """Totals over all repositories per day, from rows with repository_id, day and measures, one for each pair.
+
+    Coverage is averaged in whole hundredths of a percent, so that the order of rows cannot matter.
+    """
+    hundredths = F.sum(F.round(F.col("test_coverage_percentage") * 100).cast("long"))
+    return snapshots.groupBy("day").agg(F.count("*").alias("repositories"), F.sum("total_issues_count").alias("total_issues"), F.sum("technical_debt_hours").alias("debt_hours"), (hundredths / F.nullif(F.count("test_coverage_percentage"), F.lit(0)) / 100).alias("avg_coverage"))
 
 
 def active_users(activity: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def _closed(cols: dict[str, pa.Array], at: np.ndarray, new_key: np.ndarray, attr
     else:
         end = pc.if_else(pa.array(is_last), pa.scalar(None, pa.int64()), cols["at"].take(pa.array(at[1:])))
     taken = [cols[c].take(pa.array(own)) for c in attributes]
-    yield pa.RecordBatch.from_arrays([cols["entity"].take(pa.array(own)), cols["slice"].take(pa.array(own)), begin, end, *taken, pa.array(is_first), pa.array(is_last)], schema=schema)
+    yield pa.RecordBatch.from_arrays([cols["entity"].take(pa.array(own)), cols["slice"].take(pa.array(own)), begin, end, *taken, pa.array(is_first), pa.array(is_last)], names=schema.names)
 
 
 def attribute_history(

@@ -126,19 +126,19 @@ def issue_trends(issues: DataFrame, now: Column) -> DataFrame:
 
     The rows over all files have is_rollup true; a NULL file is a file.
     """
-    hours = (F.unix_micros("resolved_at") - F.unix_micros("created_at")) / F.lit(3_600_000_000.0)
+    span = F.unix_micros("resolved_at") - F.unix_micros("created_at")
     base = issues.groupBy("repository_id", "issue_type", "file_path").agg(
         F.count("*").alias("total_occurrences"),
         F.count_if(F.col("status") == "open").alias("open_count"),
         F.count_if(F.col("status") == "resolved").alias("resolved_count"),
         F.count_if((F.col("status") == "resolved") & (F.col("resolved_at") >= now - F.expr("interval 30 days"))).alias("resolved_last_30_days"),
-        F.sum(F.when(F.col("status") == "resolved", hours)).alias("hours"),
-        F.count(F.when(F.col("status") == "resolved", hours)).alias("timed"),
+        F.sum(F.when(F.col("status") == "resolved", span)).alias("span"),
+        F.count(F.when(F.col("status") == "resolved", span)).alias("timed"),
     )
     counts = ["total_occurrences", "open_count", "resolved_count", "resolved_last_30_days"]
-    whole = base.groupBy("repository_id", "issue_type").agg(*[F.sum(c).alias(c) for c in [*counts, "hours", "timed"]])
+    whole = base.groupBy("repository_id", "issue_type").agg(*[F.sum(c).alias(c) for c in [*counts, "span", "timed"]])
     parts = base.withColumn("is_rollup", F.lit(False)).unionByName(whole.withColumn("file_path", F.lit(None).cast("string")).withColumn("is_rollup", F.lit(True)))
-    return parts.select("repository_id", "issue_type", "file_path", "is_rollup", *counts, (F.col("hours") / F.nullif(F.col("timed"), F.lit(0))).alias("avg_resolution_time_hours"))
+    return parts.select("repository_id", "issue_type", "file_path", "is_rollup", *counts, (F.col("span") / F.nullif(F.col("timed"), F.lit(0)) / 3_600_000_000).alias("avg_resolution_time_hours"))
 
 
 def trend_of(trends: DataFrame, keys: DataFrame) -> DataFrame:

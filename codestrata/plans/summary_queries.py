@@ -86,7 +86,7 @@ def agg_05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOW = "timestamptz '2025-04-01 00:00:00+00'"
-_TREND = f"count(*) as total_occurrences, count(*) filter (status = 'open') as open_count, count(*) filter (status = 'resolved') as resolved_count, count(*) filter (status = 'resolved' and resolved_at >= {_NOW} - interval 30 day) as resolved_last_30_days, round(avg(case when status = 'resolved' then (epoch_us(resolved_at) - epoch_us(created_at)) / 3600000000.0 end), 4) as avg_resolution_time_hours"
+_TREND = f"count(*) as total_occurrences, count(*) filter (status = 'open') as open_count, count(*) filter (status = 'resolved') as resolved_count, count(*) filter (status = 'resolved' and resolved_at >= {_NOW} - interval 30 day) as resolved_last_30_days, round(cast(sum(case when status = 'resolved' then epoch_us(resolved_at) - epoch_us(created_at) end) as bigint) / nullif(count(case when status = 'resolved' then epoch_us(resolved_at) - epoch_us(created_at) end), 0) / 3600000000, 4) as avg_resolution_time_hours"
 _TRENDS_SQL = f"(select repository_id, issue_type, file_path, false as is_rollup, {_TREND} from i group by 1, 2, 3 union all select repository_id, issue_type, null, true, {_TREND} from i group by 1, 2)"
 
 
@@ -131,7 +131,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holding(rows, ["repository_id", "day"], ["created_at", "id"], list(_SNAP))
 
 
-@registry.add("agg_14_daily_snapshots", view("select d as day, count(*) as repositories, cast(sum(total_issues_count) as bigint) as total_issues, sum(technical_debt_hours) as debt_hours, round(avg(test_coverage_percentage), 4) as avg_coverage from s group by 1", s=_DAY_SQL))
+@registry.add("agg_14_daily_snapshots", view("select d as day, count(*) as repositories, cast(sum(total_issues_count) as bigint) as total_issues, sum(technical_debt_hours) as debt_hours, round(cast(sum(cast(round(test_coverage_percentage * 100) as bigint)) as bigint) / nullif(count(test_coverage_percentage), 0) / 100, 4) as avg_coverage from s group by 1", s=_DAY_SQL))
 def agg_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.daily_snapshots(snapshots(spark, sf_dir)).withColumn("avg_coverage", F.round("avg_coverage", 4))
 

@@ -80,6 +80,7 @@ def test_git_text(spark):
 
 # --- structure ----------------------------------------------------------------------------------
 
+# What each manifest and each version file has to give.
 MANIFESTS = [
     ("go.mod", "module x\n\ngo 1.25\n", None, "Go", "go", "go test"), ("package.json", "{}", None, "TypeScript/JS", "npm", ""), ("Cargo.toml", "[package]", None, "Rust", "cargo", "cargo test"), ("pom.xml", "<project/>", None, "Java", "maven", "junit"),
     ("build.gradle", "", None, "Java", "gradle", "junit"), ("build.gradle.kts", "", None, "Java", "gradle", "junit"), ("pyproject.toml", "[tool.poetry]\n", None, "Python", "poetry", "pytest"), ("setup.py", "", None, "Python", "pip", "pytest"),
