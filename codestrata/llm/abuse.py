@@ -56,8 +56,8 @@ _INVISIBLE = regex.compile(r"[\p{Cf}︀-️͏]+")
 _MARKS = regex.compile(r"[̀-ͯ]+")
 _LEAD = regex.compile(r"^\s*(?:\[\d{1,2}:\d\d\]\s*)?(?:@\w+:\s*)?(?:[>*|#/+\-]+\s*)*")
 _CODE = regex.compile(
-    r"(?P<path>(?<!\w)[\w.\-]*(?:/[\w.\-]+)+)"
-    r"|(?P<name>\(?\*?\w+\)?(?:::|\.)\w{3,}(?=\W|$)(?<=\w[a-z_A-Z0-9]{2})(?:\(\))?|\b_*[A-Za-z]{2,}\d*_\w+|\b[a-z]{3,}[A-Z][a-z]{2,}\w*|\b(?:[A-Z][a-z]{2,}){2,}\w*)"
+    r"(?P<path>(?<![\w.\-])[\w.\-]*(?:/[\w.\-]+)+)"
+    r"|(?P<name>(?<!\w)\(?\*?\w+\)?(?:::|\.)\w{3,}(?=\W|$)(?<=\w[a-z_A-Z0-9]{2})(?:\(\))?|\b_*[A-Za-z]{2,}\d*_\w+|\b[a-z]{3,}[A-Z][a-z]{2,}\w*|\b(?:[A-Z][a-z]{2,}){2,}\w*)"
     r"|(?P<user>(?<!\w)@[\p{L}\p{N}_]+)"
     r"|(?P<hash>\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b)"
     r"|(?P<num>(?<![\p{L}\p{N}@$!*#%])\d+(?:[.,:]\d+)*(?![\p{L}\p{N}@$!]))"
@@ -66,7 +66,7 @@ _PIECE = regex.compile(r"<\w+>|[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\
 _SPELLED = regex.compile(r"^\p{L}(?:[.\-_*·+|]\p{L}){2,}$")
 _REPEATED = regex.compile(r"(\p{L})\1{2,}")
 _LETTER = regex.compile(r"\p{L}")
-_MASK = regex.compile(r"(?<=\p{L})[*#%&?x]*[*#%&]+|[*#%&]+(?=\p{L})")
+_MASK = regex.compile(r"(?<=\p{L})[*#%&]+|[*#%&]+(?=\p{L})")
 
 
 def split_sentences(text: str) -> list[str]:
@@ -347,11 +347,12 @@ def score(documents: DataFrame, doc: str, text: str, model: Model) -> DataFrame:
     """The score of every document and its worst sentence.
 
     A NULL, empty or blank text scores 0 and has no worst sentence. Repeated rows are scored each. Texts are
-    read whole; a map over the rows without a shuffle. Other columns are kept and must not be named like the result's.
+    read whole; a map over the rows without a shuffle. Other columns are kept, save any that are named like the result's.
 
     Result: the columns of ``documents`` without the text, score, sentence_no, sentence_score, sentence.
     """
-    kept = [c for c in documents.columns if c != text]
+    result = ("score", "sentence_no", "sentence_score", "sentence")
+    kept = [c for c in documents.columns if c != text and c.lower() not in result]
     own = [T.StructField(c, documents.schema[c].dataType) for c in kept]
     schema = T.StructType([*own, T.StructField("score", T.DoubleType()), T.StructField("sentence_no", T.IntegerType()), T.StructField("sentence_score", T.DoubleType()), T.StructField("sentence", T.StringType())])
     shared = documents.sparkSession.sparkContext.broadcast(model.dumps())
@@ -364,7 +365,7 @@ def score(documents: DataFrame, doc: str, text: str, model: Model) -> DataFrame:
             worst = [split_sentences(t or "")[at] if at >= 0 else None for t, (_, at, _) in zip(texts, found, strict=True)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns += [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.float64()), pa.array(worst, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "sentence_no", "sentence_score", "sentence"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *result])
 
     return documents.select(*kept, text).mapInArrow(run, schema)
 

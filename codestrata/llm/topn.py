@@ -13,12 +13,20 @@ from codestrata.session import materialize
 BAND_SHARES = (0.03, 0.15, 0.5)
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def top_items(items: DataFrame, group: str, score: str, ties: list[F.Column], n: int, band_shares: tuple[float, ...] = BAND_SHARES) -> DataFrame:
     """For each group the first ``n`` items by descending score and then by ``ties``.
 
     Rows without a group or score do not count; ``ties`` are orderings (say where NULLs go) and
     should end with a unique column, else equal items come in either order. A group with fewer items keeps all. An empty
-    table gives no rows; other columns of ``items`` are kept.
+    table gives no rows; other columns of ``items`` are kept, save one named rank_no, which the result's replaces.
 
     The rows are written once to the shared folder, range-partitioned into bands of the score.
     Bands are processed from the top: groups that are already filled are anti-joined away before
@@ -29,21 +37,23 @@ def top_items(items: DataFrame, group: str, score: str, ties: list[F.Column], n:
     Result: the columns of ``items`` and rank_no (1 to n).
     """
     spark = items.sparkSession
+    items = items.drop("rank_no")
+    band_column, have, filled_column = (_unused(items, name) for name in ("_band", "_have", "_filled"))
     rows = items.where(F.col(group).isNotNull() & F.col(score).isNotNull())
     shares = [1 - s for s in band_shares]
     edges = rows.agg(F.percentile_approx(score, shares, 1000).alias("e")).first()["e"] or []
     edges = sorted(set(edges), reverse=True)
     band = reduce(lambda otherwise, i: F.when(F.col(score) >= F.lit(edges[i]), i).otherwise(otherwise), reversed(range(len(edges))), F.lit(len(edges)))
-    path = materialize(rows.withColumn("_band", band), "topn-bands", ("_band",))
-    banded = spark.read.schema(rows.withColumn("_band", F.lit(0)).schema).parquet(path)
+    path = materialize(rows.withColumn(band_column, band), "topn-bands", (band_column,))
+    banded = spark.read.schema(rows.withColumn(band_column, F.lit(0)).schema).parquet(path)
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), *ties)
     kept: list[DataFrame] = []
     for i in range(len(edges) + 1):
-        left = banded.where(F.col("_band") == i).drop("_band")
+        left = banded.where(F.col(band_column) == i).drop(band_column)
         if kept:
-            counts = reduce(DataFrame.unionByName, kept).groupBy(group).agg(F.count("*").alias("_have"))
-            filled = counts.where(F.col("_have") >= n).select(F.col(group).alias("_filled"))
-            left = left.join(filled, F.col(group) == F.col("_filled"), "left_anti")
+            counts = reduce(DataFrame.unionByName, kept).groupBy(group).agg(F.count("*").alias(have))
+            filled = counts.where(F.col(have) >= n).select(F.col(group).alias(filled_column))
+            left = left.join(filled, F.col(group) == F.col(filled_column), "left_anti")
         best = left.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n).drop("rank_no")
         if i < len(edges):
             best = spark.read.schema(best.schema).parquet(materialize(best, "topn-kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -60,7 +61,7 @@ def test_top_items_against_brute_force(spark):
     for i in range(3000):
         group = "hot" if rng.random() < 0.4 else rng.choice([None, *[f"g{k}" for k in range(60)]])
         data.append((group, rng.choice([None, 1, 1, 1, 2, 3, 500, rng.randrange(100)]), rng.choice([None, "a", "b", "Z", "é"]), f"id{i:05d}", i))
-    df = spark.createDataFrame(data, "g string, score int, name string, id string, _extra int")
+    df = spark.createDataFrame(data, "g string, score int, name string, id string, _band int").withColumns({"rank_no": F.lit("x"), "_HAVE": F.lit(1), "_filled": F.lit(None).cast("string")})
     expected = []
     for g in {d[0] for d in data} - {None}:
         own = sorted((d for d in data if d[0] == g and d[1] is not None), key=lambda d: (-d[1], d[2] is None, (d[2] or "").encode(), d[3]))
@@ -177,6 +178,14 @@ def test_placeholders_and_sentences():
     assert abuse.split_sentences("") == [] and abuse.words_of("  ") == []
 
 
+@pytest.mark.parametrize("text", ["Ab3" * 60_000, "x" * 60_000 + "1*", "a.b" * 60_000, "1a" * 60_000, "(" * 60_000, "@" * 60_000, "- " * 60_000, "/a" * 60_000, "e\u0301" * 60_000, "a b " * 30_000, "\u597d" * 60_000])
+def test_long_texts_without_sentences(text):
+    began = time.perf_counter()
+    assert isinstance(abuse.words_of(text), list)
+    assert abuse.Model({}, -5.0).document(text)[0] < 0.05
+    assert time.perf_counter() - began < 30
+
+
 def labelled():
     rng = random.Random(9)
     rude = ["you {} {}, go away", "what a {} {} you are", "shut up you {} {}"]
