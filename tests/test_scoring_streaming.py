@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pytest
 from conftest import rows
@@ -148,6 +149,6 @@ def test_streams(spark, tmp_path):
     table.write(spark.createDataFrame([issue("a"), issue("b")], STORE))
     found = spark.createDataFrame([(*issue("n", run="2", fp="a")[:-1], at(9), 1)], STORE + ", ordinal int")
     found.coalesce(1).write.parquet(str(tmp_path / "found"))
-    query = activity.reconcile_stream(activity.stream_files(spark, str(tmp_path / "found"), STORE + ", ordinal int"), table, "t", str(tmp_path.name))
+    query = activity.reconcile_stream(activity.stream_files(spark, str(tmp_path / "found"), STORE + ", ordinal int"), table, "t", f"found-{uuid.uuid4().hex}")
     query.awaitTermination()
     assert rows(table.read(), "id", "status") == [("a", "open"), ("b", "resolved")]
