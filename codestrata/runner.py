@@ -9,19 +9,24 @@ from threading import Event, Lock
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codestrata.operators.analysis import report_order
 
 FINDING = "analyzer_id string, rule_id string, issue_type string, category string, severity string, message string, description string, path string, line int, confidence double, debt_hours double, effort_multiplier double, fingerprint string"
+WARNING = "analyzer_id string, message string"
 
 
 @dataclass
 class Result:
-    """What an analyzer gives: findings of the common shape, named metrics and warnings."""
+    """What an analyzer gives: findings of the common shape, named metrics and warnings.
+
+    Warnings that grow with the files are a DataFrame with a column ``message``, a few may be a list.
+    """
 
     findings: DataFrame | None = None
     metrics: dict[str, object] = field(default_factory=dict)
-    warnings: list[str] = field(default_factory=list)
+    warnings: DataFrame | list[str] = field(default_factory=list)
 
 
 class Analyzer(Protocol):
@@ -43,11 +48,18 @@ class Progress:
 
 @dataclass
 class Report:
+    """``warning_rows`` has every warning (analyzer_id, message) in order and is computed when it is read."""
+
     findings: DataFrame
     metrics: list[tuple[str, str, object]]
-    warnings: list[str]
+    warning_rows: DataFrame
     failures: list[tuple[str, str]]
 
+    @property
+    def warnings(self) -> list[str]:
+        """The messages of all warnings, each once; read anew at each call, on the driver."""
+        return list(dict.fromkeys(r["message"] for r in self.warning_rows.select("message").collect()))
+
 
 class Cancelled(Exception):
     """The run was cancelled before it ended."""
@@ -79,7 +91,7 @@ def run(
             try:
                 progress(Progress(analyzer_id, stage, index, len(analyzers)))
             except Exception as e:  # noqa: BLE001 - a broken handler must not end the run
-                told.append(f"progress handler failed: {e}")
+                told.append((analyzer_id, f"progress handler failed: {e}"))
 
     def one(position: int) -> tuple[str, Result | None, str]:
         analyzer = analyzers[position]
@@ -114,7 +126,8 @@ def run(
     if cancelled is not None and cancelled.is_set():
         raise Cancelled
     findings = spark.createDataFrame([], FINDING)
-    metrics, warnings, failures = [], list(told), []
+    metrics, few, failures = [], list(told), []
+    many: list[DataFrame] = []
     for name, result, error in outcomes:
         if result is None:
             failures.append((name, error))
@@ -122,5 +135,11 @@ def run(
         if result.findings is not None:
             findings = findings.unionByName(result.findings, allowMissingColumns=True)
         metrics += [(name, k, v) for k, v in result.metrics.items()]
-        warnings += result.warnings
-    return Report(findings.orderBy(*report_order()), sorted(metrics, key=lambda m: m[:2]), sorted(set(warnings)), failures)
+        if isinstance(result.warnings, DataFrame):
+            many.append(result.warnings.select(F.lit(name).alias("analyzer_id"), "message"))
+        else:
+            few += [(name, w) for w in result.warnings]
+    warnings = spark.createDataFrame(few, WARNING)
+    for rows in many:
+        warnings = warnings.unionByName(rows)
+    return Report(findings.orderBy(*report_order()), sorted(metrics, key=lambda m: m[:2]), warnings.orderBy("message", "analyzer_id"), failures)

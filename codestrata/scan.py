@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.scoring import summary
 from codestrata.operators import analysis, policy, structure
-from codestrata.runner import FINDING, Analyzer, Report, Result, run
+from codestrata.runner import FINDING, WARNING, Analyzer, Report, Result, run
 from codestrata.sources import trees
 
 
@@ -22,7 +22,7 @@ class Complexity:
     def analyze(self, spark: SparkSession, files: DataFrame) -> Result:
         measured, found, failed = analysis.analyze(files, **self.options)
         totals = summary(measured, "cyclomatic_complexity", "severity", "technical_debt_minutes").first().asDict()
-        return Result(found, {k: v for k, v in totals.items() if v is not None}, [r["message"] for r in failed.limit(1000).collect()])
+        return Result(found, {k: v for k, v in totals.items() if v is not None}, failed)
 
 
 class Lines:
@@ -38,7 +38,7 @@ def scan(spark: SparkSession, root: str, mode: str = "full", targets: list[str]
     """Scan a directory: everything, or the files of an incremental scope; ``no_changes`` reads nothing."""
     policy.validate_scope(mode, targets)
     if mode == "no_changes":
-        return Report(spark.createDataFrame([], FINDING), [], [], [])
+        return Report(spark.createDataFrame([], FINDING), [], spark.createDataFrame([], WARNING), [])
     base = trees.open_local(root)
     judged = policy.file_policy(trees.tree(spark, base))
     if mode == "incremental":
@@ -47,8 +47,9 @@ def scan(spark: SparkSession, root: str, mode: str = "full", targets: list[str]
     judged = judged.persist()
     files = judged.where(F.col("reason").isNull()).select("path", "length", F.decode("content", "UTF-8").alias("content"))
     report = run(spark, files, analyzers if analyzers is not None else [Complexity(), Lines()], **options)
-    refused = [r["message"] for r in policy.warnings(judged).limit(1000).collect()]
-    return Report(report.findings, report.metrics, refused + report.warnings, report.failures)
+    refused = policy.warnings(judged).select(F.lit("scanner").alias("analyzer_id"), "message", F.lit(0).alias("part"))
+    told = refused.unionByName(report.warning_rows.withColumn("part", F.lit(1)))  # refusals come first
+    return Report(report.findings, report.metrics, told.orderBy("part", "message", "analyzer_id").drop("part"), report.failures)
 
 
 def detect_structure(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -179,6 +179,20 @@ def test_scan(spark, repository):
     assert rows(structured["build_roots"], "dir", "tool", "image") == [("", "go", "golang:1.25-alpine")]
 
 
+def test_every_warning_is_kept(spark, tmp_path):
+    for i in range(1001):
+        put(tmp_path, f"/r{i:04}.js", b"x" * 10_000)
+    put(tmp_path, "/bad.py", "def f(:\n")
+    report = scan.scan(spark, str(tmp_path))
+    told = [tuple(r) for r in report.warning_rows.collect()]
+    assert told[:1001] == [("scanner", f"/r{i:04}.js skipped: {policy.MINIFIED_REASON}") for i in range(1001)]
+    assert len(told) == 1002 and told[-1][0] == "complexity" and told[-1][1].startswith("/bad.py could not be parsed: ")
+    assert report.warnings == [m for _, m in told]
+    broken = spark.range(1001).select(F.format_string("/b%04d.py", "id").alias("path"), F.lit("def f(:\n").alias("content"))
+    report = run(spark, broken, [scan.Complexity()])
+    assert [m.split(" ")[0] for m in report.warnings] == [f"/b{i:04}.py" for i in range(1001)] and report.failures == []
+
+
 class Fake:
     def __init__(self, name, result=None, error=None):
         self.id, self.name, self.result, self.error = name, name, result, error
