@@ -58,6 +58,10 @@ ANONYMOUS = {"go": "<anonymous>", "javascript": "<anonymous>", "typescript": "<a
 _NOT_NAMES = frozenset("if for while switch catch return new throw else do try function fn func fun typeof await yield sizeof using lock foreach when match unless guard in of is as case default delegate instanceof import super this static_assert alignof decltype".split())
 
 
+_TYPE_PREFIXES = frozenset("keyof unique readonly infer asserts typeof abstract new".split())
+_BEFORE_ARROW = frozenset(("", "=", "(", ",", "[", "{", "}", ";", ":", "=>", "?", "&&", "||", "??", "&&=", "||=", "??=", "return", "default", "yield", "else", "do", "of", "in"))
+
+
 @dataclass
 class _Found:
     """A function header: name, its first token, parameter tokens and the body's tokens with their bounds."""
@@ -81,6 +85,8 @@ class Scanner:
             self.tokens = [t for t in self.tokens if t.kind != "newline"]
         self.pairs = brackets(self.tokens)
         self.openers = {close: left for left, close in self.pairs.items()}
+        self.angles = self._angles()
+        self.arrows, self.type_arrows = self._typed_arrows() if language == "typescript" else ({}, set())
         self.found = sorted(self._functions(), key=lambda f: f.start)
         self.closures = {f.start: f for f in self.found if f.closure}
 
@@ -487,18 +493,81 @@ class Scanner:
 
     def _after_type(self, k: int) -> int:
         """Past a result type in TypeScript, to a brace, arrow or end of the statement."""
-        if self.at(k) != ":":
-            return k
-        k += 1
-        if self.at(k) == "{":
-            k = self.close(k) + 1
-        while k < len(self.tokens) and self.at(k) not in ("{", "=>", ";", ",", ")", "}"):
-            k = self.close(k) + 1 if self.at(k) in ("(", "[") else k + 1
-            if self.at(k) == "=>" and self.at(k - 1) == ")":  # a function type goes on
-                nxt = k + 1
-                if self.at(nxt) != "{" and self.language == "typescript":
-                    break
-        return k
+        return self._type_end(k + 1) if self.at(k) == ":" and self.language == "typescript" else k
+
+    def _type_end(self, k: int) -> int:
+        """Past the TypeScript type that begins at ``k``, of any length."""
+        tests = choices = 0  # conditional types before their question mark, before their colon
+        while True:
+            while self.at(k) in ("|", "&") or (self.is_name(k) and self.at(k) in _TYPE_PREFIXES and (self.kind(k + 1) in ("name", "string", "number") or self.at(k + 1) in ("(", "[", "{", "<"))):
+                k += 1
+            if self.at(k) == "<":  # a function type with parameters of its own
+                k = self._generic(k)
+            if self.at(k) == "(" and self._is_function_type(k):
+                k = self.close(k) + 1
+                if self.at(k) != "=>":
+                    return k
+                k += 1
+                continue
+            if self.kind(k) == "op" and self.at(k) in ("(", "[", "{"):
+                k = self.close(k) + 1
+            elif self.kind(k) in ("string", "number"):
+                k += 1
+            elif self.at(k) == "-" and self.kind(k + 1) == "number":
+                k += 2
+            elif self.is_name(k):
+                k = self.close(k + 1) + 1 if self.at(k) == "import" and self.at(k + 1) == "(" else k + 1
+                while self.at(k) == "." and self.is_name(k + 1):
+                    k += 2
+                k = self._generic(k)
+            else:
+                return k
+            while self.at(k) == "[" and self.kind(k) == "op":
+                k = self.close(k) + 1
+            if self.is_name(k) and self.at(k) == "extends":
+                tests += 1
+            elif self.at(k) == "?" and tests:
+                tests, choices = tests - 1, choices + 1
+            elif self.at(k) == ":" and choices:
+                choices -= 1
+            elif self.at(k) not in ("|", "&") and not (self.is_name(k) and self.at(k) == "is"):
+                return k
+            k += 1
+
+    def _is_function_type(self, k: int) -> bool:
+        """Whether the parenthesis at ``k`` of a type holds parameters, by their first one."""
+        if self.at(k + 1) in (")", "..."):
+            return True
+        after = self.close(k + 1) + 1 if self.is_name(k + 1) or self.at(k + 1) in ("[", "{") else 0
+        return self.at(after) in (":", "?:", ",", "?", "=") or (after == self.close(k) and self.at(after + 1) == "=>") if after else False
+
+    def _typed_arrows(self) -> tuple[dict[int, int], set[int]]:
+        """The parameters' closing parenthesis of each arrow after a result type, and the arrows within such types."""
+        found, within = {}, set()
+        generics = {end - 1: left for left, end in self.angles.items()}
+        for close, left in sorted(self.openers.items()):
+            if self.at(close) != ")" or self.at(close + 1) != ":":
+                continue
+            before = generics.get(left - 1, left) - 1
+            before -= self.at(before) == "async"
+            arrow = self._type_end(close + 2)
+            if self.at(arrow) == "{" and self.is_name(before):  # of a function or method
+                within.update(k for k in range(close + 2, arrow) if self.at(k) == "=>")
+            if arrow == close + 2 or self.at(arrow) != "=>" or self.at(before) not in _BEFORE_ARROW or (self.at(before) == "?" and not self._has_else(arrow + 1)):
+                continue
+            found[arrow] = close
+            within.update(k for k in range(close + 2, arrow) if self.at(k) == "=>")
+        return found, within
+
+    def _has_else(self, k: int) -> bool:
+        """Whether the expression at ``k`` is followed by the colon of a ternary around it."""
+        depth = 0
+        while k < len(self.tokens) and self.at(k) not in (";", ",", ")", "]", "}"):
+            depth += (self.at(k) == "?") - (self.at(k) == ":")
+            if depth < 0:
+                return True
+            k = self.close(k) + 1 if self.at(k) in ("(", "[", "{") else k + 1
+        return False
 
     def _assigned_name(self, i: int) -> str:
         """The name that a function expression at ``i`` is given by a declaration, key or member."""
@@ -538,13 +607,9 @@ class Scanner:
             body, end = self._bounds(brace)
             return _Found(name, i, (k + 1, self.close(k)), body, end)
         if t == "=>" and self.kind(i) == "op":
-            k = i - 1
-            if self.language == "typescript":
-                back = k
-                while back > 0 and self.at(back) not in (")", ";", "{", "}", "=", ",", "(") and i - back < 24:
-                    back -= 1
-                if self.at(back) == ")" and self.at(back + 1) in (":", "=>"):
-                    k = back
+            if i in self.type_arrows:
+                return None
+            k = self.arrows.get(i, i - 1)
             if self.at(k) == ")":
                 left = self.open(k)
                 start, params, bare = left, (left + 1, k), None
@@ -557,7 +622,7 @@ class Scanner:
                 start, params, bare = k, None, 1
             else:
                 return None
-            if self.at(start - 1) == ":" and self.language == "typescript" and self.at(start - 2) != "?" and self._is_type_place(start - 1):
+            if i not in self.arrows and self.at(start - 1) == ":" and self.language == "typescript" and self.at(start - 2) != "?" and self._is_type_place(start - 1):
                 return None
             body, end = self._arrow_body(i + 1)
             return _Found(self._assigned_name(start), start - (self.at(start - 1) == "async"), params, body, end, bare_params=bare)
@@ -578,17 +643,26 @@ class Scanner:
 
     def _generic(self, k: int) -> int:
         """Past type parameters in angle brackets."""
-        if self.at(k) != "<":
-            return k
-        depth = 0
-        for n in range(k, min(k + 80, len(self.tokens))):
-            t = self.at(n)
-            depth += (t == "<") - (t == ">") - 2 * (t == ">>")
-            if t in (";", "{") and self.language != "typescript":
-                return k
-            if depth <= 0:
-                return n + 1
-        return k
+        return self.angles.get(k, k)
+
+    def _angles(self) -> dict[int, int]:
+        """The index after each pair of angle brackets, by its opening one; other brackets between them are balanced."""
+        ends: dict[int, int] = {}
+        stack: list[int] = []
+        for i, t in enumerate(self.tokens):
+            if t.kind != "op":
+                continue
+            if t.text in (";", ")", "]", "}") or (t.text == "{" and self.language != "typescript"):
+                while stack and self.at(stack[-1]) == "<":
+                    stack.pop()
+            if t.text in ("<", "(", "[", "{"):
+                stack.append(i)
+            elif t.text == ">" and stack and self.at(stack[-1]) == "<":
+                ends[stack.pop()] = i + 1
+            elif i in self.openers:
+                while stack and stack[-1] >= self.openers[i]:
+                    stack.pop()
+        return ends
 
     def _java(self, i: int) -> _Found | None:
         if self.at(i) == "->" and self.kind(i) == "op":

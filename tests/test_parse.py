@@ -49,6 +49,31 @@ def test_functions(language, text, expected):
     assert measured(language, text) == expected
 
 
+LONG = " | ".join(f"'{i}'" for i in range(40))
+MANY = ", ".join(f"T{i} extends U{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("const f = (x: number): Promise<Map<string, number>> => { if (x) {} };", {"f": (2, 1, 0, 1)}),
+        ("const f = (): { a: string, b: number } => { if (x) {} };", {"f": (2, 1, 0, 0)}),
+        ("const f = (): [A, B] => x && y;", {"f": (2, 1, 0, 0)}),
+        (f"const f = (a: A, b: B): {LONG} => a && b;", {"f": (2, 1, 0, 2)}),
+        ("const f = (a: A): (b: B, c: C) => D => x && y;", {"f": (2, 1, 0, 1)}),
+        ("const f = async <T extends Map<A, B>>(a: T): Promise<(b: B) => [A, B]> => a ?? x;", {"<anonymous>": (2, 1, 0, 1)}),
+        ("const f = (x: T): T extends U ? { a: A } : x is B => x;", {"f": (1, 0, 0, 1)}),
+        ("const o = { a: 1, k: (x): Map<A, B> => x || y };", {"<anonymous>": (2, 1, 0, 1)}),
+        ("const f = c ? (a, d) : b => b;", {"<anonymous>": (1, 0, 0, 1)}),
+        ("const f = c ? (a, d): B => a : e;", {"<anonymous>": (1, 0, 0, 2)}),
+        ("class K { async m(a: A): Promise<Map<A, B>> { if (a) {} } n(): (a: A) => B { } }", {"m": (2, 1, 0, 1), "n": (1, 0, 0, 0)}),
+        (f"function f<{MANY}>(a: T0): Map<A, B> {{ if (a) {{}} }}", {"f": (2, 1, 0, 1)}),
+    ],
+)
+def test_result_types(text, expected):
+    assert measured("typescript", text) == expected
+
+
 def test_strings_and_comments_hold_no_code():
     for language, text in (("java", 'int f() { String s = "if (a && b) {"; /* if (x) { */ return 1; // while (1) {\n }'), ("go", "func f() int { s := `if a {` ; return 1 // if b {\n}\n"), ("rust", 'fn f() -> u8 { let s = r#"if { "# ; 1 /* if { */ }'), ("php", "<?php function f() { $s = 'if ($a) {'; # if {\n return 1; }")):
         assert [v[:2] for v in measured(language, text.replace("int f()", "int f()")).values()] == [(1, 0)], language
