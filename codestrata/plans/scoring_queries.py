@@ -164,6 +164,32 @@ def cx_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, "function_name", "technical_debt_minutes").select("id", scoring.finding_description(name, cyc, cog, nest, par, loc, F.col("technical_debt_minutes"), advice).alias("description"))
 
 
+def _advice_sql() -> str:
+    """The suggestions for Go that apply, a line each; of the two on cyclomatic complexity only the stronger."""
+    short = {"cyclomatic": "c", "nesting": "n", "params": "p", "loc": "l", "cognitive": "g"}
+    parts = [f"case when {short[m]} > {limit}{' and c <= 20' if (m, limit) == ('cyclomatic', 10) else ''} then chr(10) || '- [{priority.upper()}] {title}: {words}' else '' end" for m, limit, _, priority, title, words, _ in scoring._GO_SUGGESTIONS]
+    return " || ".join(parts)
+
+
+@registry.add(
+    "cx_13_description_all",
+    view(
+        """select id, 'Function: ' || f || chr(10) || 'Cyclomatic Complexity: ' || c || chr(10) || case when g0 is null then '' else 'Cognitive Complexity: ' || g0 || chr(10) end
+  || 'Nesting Depth: ' || n || chr(10) || 'Parameters: ' || p || chr(10) || 'Lines of Code: ' || l || chr(10) || 'Estimated Refactoring Time: ' || d || ' minutes'
+  || case when a = '' then '' else chr(10) || chr(10) || 'Refactoring Suggestions:' || a end as description from a""",
+        h=_metrics_sql("function_name", "technical_debt_minutes"),
+        m=f"({_SHORT}, coalesce(function_name, '<anonymous>') f, cognitive_complexity g0, coalesce(technical_debt_minutes, 0) d from h)",
+        a=f"(select *, {_advice_sql()} a from m)",
+    ),
+)
+def cx_13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions with the suggestions for all five measures."""
+    cyc, cog, nest, par, loc = _measures()
+    name = F.coalesce("function_name", F.lit("<anonymous>"))
+    advice = scoring.suggestions_go(cyc, cog, nest, par, loc)
+    return _metrics(spark, sf_dir, "function_name", "technical_debt_minutes").select("id", scoring.finding_description(name, cyc, cog, nest, par, loc, F.col("technical_debt_minutes"), advice).alias("description"))
+
+
 @registry.add("cx_14_line_count", "select coalesce(lang, '') as lang, count(*) as file_count, cast(sum(coalesce(length(text) - length(replace(text, chr(10), '')), 0)) as bigint) as loc from documents group by 1")
 def cx_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("file_count"), F.sum(text.newline_count(F.col("text"))).cast("long").alias("loc"))
