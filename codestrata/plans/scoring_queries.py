@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import scoring, text
 from codestrata.operators import policy
-from codestrata.plans.bindings import NODES_SQL, folded_sql, functions_and_nodes, held, held_sql, view
+from codestrata.plans.bindings import ALL_NODES_SQL, NODES_SQL, folded_sql, functions_and_nodes, held, held_sql, view
 from codestrata.plans.registry import Registry
 from codestrata.tables import folded, read
 
@@ -54,6 +54,21 @@ def cx_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.reduce_nodes(functions, nodes, ["p_partkey"])
 
 
+@registry.add(
+    "cx_01_complexity_reduction_all",
+    view(
+        """select p_partkey, cast(1 + count(*) filter (node_type in ('Branch','Loop','Closure','Operator')) as integer) as cyclomatic,
+  cast(coalesce(sum(case when node_type in ('Branch','Loop','Closure') then 1 + depth when node_type = 'Operator' then 1 else 0 end), 0) as integer) as cognitive,
+  cast(coalesce(max(depth), 0) as integer) as nesting from part left join n using (p_partkey) group by 1""",
+        n=ALL_NODES_SQL,
+    ),
+)
+def cx_01_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all lines of orders."""
+    functions, nodes = functions_and_nodes(spark, sf_dir, "true")
+    return scoring.reduce_nodes(functions, nodes, ["p_partkey"])
+
+
 @registry.add("cx_02_severity", _scored(f"select id, {SEVERITY_SQL} as severity from m"))
 def cx_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     cyc, cog, nest, _, _ = _measures()

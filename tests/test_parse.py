@@ -115,3 +115,12 @@ def test_udtf(spark):
     registry.register_udtf(spark)
     spark.createDataFrame([("python", "/x.py", "def f(a):\n    if a: pass\n")], "language string, path string, content string").createOrReplaceTempView("sources")
     assert rows(spark.sql("select p.function_name, size(p.nodes) from sources s, lateral parse_code(s.language, s.path, s.content) p")) == [("f", 1)]
+
+
+def test_whole_tables_of_nodes(spark, tmp_path):
+    """Nodes of small quantities count too; a function without nodes keeps its row."""
+    from codestrata.plans.scoring_queries import registry as scored
+
+    spark.createDataFrame([(1,), (2,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 1, 3.0), (1, 4, 26.0)], "l_partkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert rows(scored.queries["cx_01_complexity_reduction_all"](spark, str(tmp_path)), "p_partkey", "cyclomatic", "cognitive", "nesting") == [(1, 3, 5, 3), (2, 1, 0, 0)]
