@@ -67,6 +67,20 @@ def src_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.metadata(files).select("path", F.col("content").isNotNull().alias("has_content"))
 
 
+_TELLING = (*structure.METADATA, "main.go", "build.rs", "build.zig.zon")
+
+
+@registry.add(
+    "src_16_metadata_all",
+    "select file_path as path, coalesce((name in (" + ", ".join(f"'{n}'" for n in _TELLING) + ") or ends_with(name, '.java') or ends_with(name, '.csproj')) and octet_length(encode(text)) <= 1048576, false) as has_content from (select file_path, text, string_split(file_path, '/')[-1] as name from documents where file_path is not null)",
+)
+def src_16_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every document that has a path, whatever its name, without a text too."""
+    rows = read(spark, sf_dir, "documents").where("file_path is not null")
+    files = rows.select(F.col("file_path").alias("path"), F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
+    return trees.metadata(files).select("path", F.col("content").isNotNull().alias("has_content"))
+
+
 @registry.add("scope_01_modes", "select * from (values ('full', true), ('incremental', false), ('no_changes', true), ('odd', false)) v(mode, valid)")
 def scope_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     def valid(mode: str) -> bool:

@@ -179,6 +179,13 @@ def test_scan(spark, repository):
     assert rows(structured["build_roots"], "dir", "tool", "image") == [("", "go", "golang:1.25-alpine")]
 
 
+def test_metadata_of_all_documents(spark, tmp_path):
+    from codestrata.plans.file_queries import registry
+
+    spark.createDataFrame([("a/go.mod", "m"), ("main.go", "p"), ("b/A.java", ""), ("c/x.py", "x"), ("d/pom.xml", None)], "file_path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(registry.queries["src_16_metadata_all"](spark, str(tmp_path)), "path", "has_content") == [("a/go.mod", True), ("b/A.java", True), ("c/x.py", False), ("d/pom.xml", False), ("main.go", True)]
+
+
 def test_every_warning_is_kept(spark, tmp_path):
     for i in range(1001):
         put(tmp_path, f"/r{i:04}.js", b"x" * 10_000)
