@@ -22,9 +22,11 @@ def activity_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
     """Events and users per kind and window; rows later than ``late`` behind the newest are left out.
 
     Works on a stream (append mode) and on a table alike. ``events`` has ts, user_id and event_type.
+    Users are counted exactly on a table; on a stream they are estimated, with a relative standard deviation of 5 %.
     """
+    users = F.approx_count_distinct("user_id", 0.05) if events.isStreaming else F.count_distinct("user_id")
     timed = events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type").withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("window_start"), "event_type", "n", "users")
+    return timed.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), users.alias("users")).select(F.col("window.start").alias("window_start"), "event_type", "n", "users")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

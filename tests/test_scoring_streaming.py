@@ -119,6 +119,12 @@ def test_reconcile(spark):
     assert {r["id"] for r in swept.where("status = 'open'").collect()} == {"d"}
 
 
+def test_users_of_a_table_are_exact(spark):
+    sizes = {"a": 5000, "b": 7001, "c": 12345}
+    events = spark.createDataFrame([(k, n) for k, n in sizes.items()], "event_type string, n int").selectExpr("timestamp '2025-01-01 00:10:00' as ts", "explode(sequence(1, n)) as user_id", "event_type")
+    assert rows(activity.activity_counts(events), "event_type", "n", "users") == [(k, n, n) for k, n in sizes.items()]
+
+
 def test_streams(spark, tmp_path):
     import datetime as dt
 
