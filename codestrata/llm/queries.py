@@ -64,11 +64,25 @@ def p1_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     The bound holds for each percentile with 99 % confidence; twice the bound is asked here of all
     of a group together. The exact side is a histogram of the values, joined by group.
     """
+    room = F.col("n") * (2 * quantiles.rank_error()) + 1
+    inside = (F.col("below") <= F.col("q") * F.col("n") + room) & (F.col("upto") >= F.col("q") * F.col("n") - room)
+    return _of_ranks(spark, sf_dir, F.bool_and(inside).alias("within_bound"))
+
+
+@registry.add("p1_rank_errors")
+def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest rank error of the percentiles of each group, as a share of its rows, and how many lie beyond one bound and a row."""
+    off = F.greatest(F.col("below") - F.col("q") * F.col("n"), F.col("q") * F.col("n") - F.col("upto"), F.lit(0.0))
+    beyond = F.count_if(off > F.col("n") * quantiles.rank_error() + 1)
+    return _of_ranks(spark, sf_dir, F.max(off / F.col("n")).alias("largest_rank_error"), beyond.alias("beyond_bound"))
+
+
+def _of_ranks(spark: SparkSession, sf_dir: str, *measures: F.Column) -> DataFrame:
+    """Measures of each group over the exact ranks of its percentiles: rows below the value and up to it."""
     rows = measured(spark, sf_dir)
     long = rows.select("repository_id", "language", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select("repository_id", "language", "x.measure", "x.v").where("v is not null")
     histogram = long.groupBy("repository_id", "language", "measure", "v").agg(F.count("*").alias("k"))
     answers = quantiles.merged(daily_sketches(spark, sf_dir), GROUPINGS).withColumn("answers", F.array(*[F.struct(F.lit(q).alias("q"), quantiles.percentile("sketch", q).alias("value")) for q in PERCENTILES])).drop("sketch")
-    slack = 2 * quantiles.rank_error()
     checked = None
     for g in GROUPINGS:
         level = "+".join(g)
@@ -81,10 +95,9 @@ def p1_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.when(F.col("v") < F.col("value"), F.col("k")).otherwise(0)).alias("below"),
             F.sum(F.when(F.col("v") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto"),
         )
-        room = F.col("n") * slack + 1
-        inside = (F.col("below") <= F.col("q") * F.col("n") + room) & (F.col("upto") >= F.col("q") * F.col("n") - room)
-        part = ranks.groupBy(*g, "measure", "n").agg(F.bool_and(inside).alias("within_bound"))
-        part = part.select(F.lit(level).alias("level"), *[F.col(c) if c in g else F.lit(None).cast("string").alias(c) for c in ("repository_id", "language")], "measure", "n", "within_bound")
+        part = ranks.groupBy(*g, "measure", "n").agg(*measures)
+        own_columns = part.columns[len(g) + 2 :]
+        part = part.select(F.lit(level).alias("level"), *[F.col(c) if c in g else F.lit(None).cast("string").alias(c) for c in ("repository_id", "language")], "measure", "n", *own_columns)
         checked = part if checked is None else checked.unionByName(part)
     return checked
 
