@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import abuse, packing, quantiles, tokenizer, topn
 from codestrata.plans.registry import Registry
-from codestrata.session import spread
-from codestrata.tables import folded, holding, read, reference
+from codestrata.session import materialize, spread
+from codestrata.tables import folded, holding, read, reference, utc_day
 
 registry = Registry()
 MEASURES = ["cyclomatic_complexity", "lines_of_code"]
@@ -24,7 +24,7 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(
         "repository_id",
         F.coalesce(F.nullif(folded("language"), F.lit("")), F.lit(NOT_STATED)).alias("language"),
-        F.to_date("created_at").alias("day"),
+        utc_day("created_at").alias("day"),
         "cyclomatic_complexity",
         F.when(F.col("lines_of_code") > 0, F.col("lines_of_code")).alias("lines_of_code"),
     )
@@ -36,57 +36,83 @@ def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("p1_percentiles")
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per repository, per language and per both, from daily sketches merged, with their bound."""
+    """Percentiles per repository, per language and per both, from daily sketches merged, with their bound and its confidence."""
     merged = quantiles.merged(daily_sketches(spark, sf_dir), GROUPINGS)
-    values = [quantiles.percentile("sketch", q).alias(f"p{round(100 * q)}") for q in PERCENTILES]
-    return merged.select("level", "repository_id", "language", "measure", "n", *values, F.lit(quantiles.rank_error()).alias("rank_error_99"))
+    values = [quantiles.whole_percentile("sketch", q).alias(f"p{round(100 * q)}") for q in PERCENTILES]
+    return merged.select("level", "repository_id", "language", "measure", "n", *values, F.lit(quantiles.rank_error()).alias("rank_error"), F.lit(quantiles.CONFIDENCE).alias("confidence"))
 
 
-P1_BOUND_SQL = """
+_P1_ROWS = """
 with h as (
   select * from complexity_metrics qualify row_number() over (partition by id order by updated_at desc, loaded_at desc) = 1
 ), m as (
-  select repository_id, coalesce(nullif(lower(trim(language)), ''), 'unknown') as language, cyclomatic_complexity c, case when lines_of_code > 0 then lines_of_code end l from h
+  select repository_id, coalesce(nullif(lower(trim(language)), ''), 'unknown') as language, strftime(date_trunc('month', created_at), '%Y-%m') as month,
+    cyclomatic_complexity c, case when lines_of_code > 0 then lines_of_code end l from h
 ), v as (
-  select repository_id, language, 'cyclomatic_complexity' as measure, c v from m where c is not null
-  union all select repository_id, language, 'lines_of_code', l from m where l is not null
+  select repository_id, language, month, 'cyclomatic_complexity' as measure, c v from m where c is not null
+  union all select repository_id, language, month, 'lines_of_code', l from m where l is not null
 )
+"""
+P1_BOUND_SQL = (
+    _P1_ROWS
+    + """
 select 'repository_id' as level, repository_id, cast(null as varchar) as language, measure, count(*) as n, true as within_bound from v group by all
 union all select 'language', null, language, measure, count(*), true from v group by all
 union all select 'repository_id+language', repository_id, language, measure, count(*), true from v group by all
 """
+)
+P1_MONTHS_SQL = _P1_ROWS + "select coalesce(month, '') as month, repository_id, measure, count(*) as n, true as within_bound from v group by all"
+
+
+def _within(rank_error: float) -> F.Column:
+    """Whether the exact rank of a percentile lies within the bound; ranks are whole rows, so one row is added."""
+    room = F.col("n") * rank_error + 1
+    return (F.col("below") <= F.col("q") * F.col("n") + room) & (F.col("upto") >= F.col("q") * F.col("n") - room)
 
 
 @registry.add("p1_bound", P1_BOUND_SQL)
 def p1_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the exact ranks of all percentiles lie within the stated bound, counted over all rows.
+    """Whether the exact ranks of all percentiles lie within the bound that p1_percentiles states, counted over all rows.
 
-    The bound holds for each percentile with 99 % confidence; twice the bound is asked here of all
-    of a group together. The exact side is a histogram of the values, joined by group.
+    The exact side is a histogram of the values, joined by group.
     """
-    room = F.col("n") * (2 * quantiles.rank_error()) + 1
-    inside = (F.col("below") <= F.col("q") * F.col("n") + room) & (F.col("upto") >= F.col("q") * F.col("n") - room)
-    return _of_ranks(spark, sf_dir, F.bool_and(inside).alias("within_bound"))
+    checked = _of_ranks(_long(measured(spark, sf_dir)), daily_sketches(spark, sf_dir), GROUPINGS, F.bool_and(_within(quantiles.rank_error())).alias("within_bound"))
+    return checked.select("level", "repository_id", "language", "measure", "n", "within_bound")
 
 
 @registry.add("p1_rank_errors")
 def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest rank error of the percentiles of each group, as a share of its rows, and how many lie beyond one bound and a row."""
+    """The largest rank error of the percentiles of each group as a share of its rows, and how many miss the bound and that of 99 % (each and a row)."""
     off = F.greatest(F.col("below") - F.col("q") * F.col("n"), F.col("q") * F.col("n") - F.col("upto"), F.lit(0.0))
-    beyond = F.count_if(off > F.col("n") * quantiles.rank_error() + 1)
-    return _of_ranks(spark, sf_dir, F.max(off / F.col("n")).alias("largest_rank_error"), beyond.alias("beyond_bound"))
+    beyond = [F.count_if(~_within(quantiles.rank_error())).alias("beyond_bound"), F.count_if(~_within(quantiles.rank_error(confidence=0.99))).alias("beyond_bound_99")]
+    return _of_ranks(_long(measured(spark, sf_dir)), daily_sketches(spark, sf_dir), GROUPINGS, F.max(off / F.col("n")).alias("largest_rank_error"), F.count("*").alias("percentiles"), *beyond)
+
+
+@registry.add("p1_months", P1_MONTHS_SQL)
+def p1_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sketches stored as a table, read back and merged by ranges of days: months of each repository, checked against exact ranks."""
+    stored = spark.read.parquet(materialize(daily_sketches(spark, sf_dir), "daily-sketches"))
+    month = F.coalesce(F.date_format("day", "yyyy-MM"), F.lit("")).alias("month")
+    rows = _long(measured(spark, sf_dir).withColumn("month", month), "month")
+    checked = _of_ranks(rows, stored.withColumn("month", month), [["month", "repository_id"]], F.bool_and(_within(quantiles.rank_error())).alias("within_bound"))
+    return checked.select("month", "repository_id", "measure", "n", "within_bound")
+
+
+def _long(rows: DataFrame, *more: str) -> DataFrame:
+    """One row for each value that was measured."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES]))
+    keys = ["repository_id", "language", *more]
+    return rows.select(*keys, each.alias("x")).select(*keys, "x.measure", "x.v").where("v is not null")
 
 
-def _of_ranks(spark: SparkSession, sf_dir: str, *measures: F.Column) -> DataFrame:
+def _of_ranks(long: DataFrame, parts: DataFrame, groupings: list[list[str]], *measures: F.Column) -> DataFrame:
     """Measures of each group over the exact ranks of its percentiles: rows below the value and up to it."""
-    rows = measured(spark, sf_dir)
-    long = rows.select("repository_id", "language", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select("repository_id", "language", "x.measure", "x.v").where("v is not null")
-    histogram = long.groupBy("repository_id", "language", "measure", "v").agg(F.count("*").alias("k"))
-    answers = quantiles.merged(daily_sketches(spark, sf_dir), GROUPINGS).withColumn("answers", F.array(*[F.struct(F.lit(q).alias("q"), quantiles.percentile("sketch", q).alias("value")) for q in PERCENTILES])).drop("sketch")
+    keys = list(dict.fromkeys(c for g in groupings for c in g))
+    histogram = long.groupBy(*keys, "measure", "v").agg(F.count("*").alias("k"))
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), quantiles.whole_percentile("sketch", q).alias("value")) for q in PERCENTILES]))
     checked = None
-    for g in GROUPINGS:
-        level = "+".join(g)
-        own = answers.where(F.col("level") == level).select(*[F.col(c).alias(f"a_{c}") for c in [*g, "measure"]], "n", F.explode("answers").alias("x")).select("*", "x.q", "x.value")
+    for g in groupings:
+        own = quantiles.merged(parts, [g]).select(*[F.col(c).alias(f"a_{c}") for c in [*g, "measure"]], "n", each.alias("x")).select("*", "x.q", "x.value")
         counts = histogram.groupBy(*g, "measure", "v").agg(F.sum("k").alias("k"))
         match = F.col("a_measure") == F.col("measure")
         for c in g:
@@ -97,7 +123,7 @@ def _of_ranks(spark: SparkSession, sf_dir: str, *measures: F.Column) -> DataFram
         )
         part = ranks.groupBy(*g, "measure", "n").agg(*measures)
         own_columns = part.columns[len(g) + 2 :]
-        part = part.select(F.lit(level).alias("level"), *[F.col(c) if c in g else F.lit(None).cast("string").alias(c) for c in ("repository_id", "language")], "measure", "n", *own_columns)
+        part = part.select(F.lit("+".join(g)).alias("level"), *[F.col(c) if c in g else F.lit(None).cast("string").alias(c) for c in keys], "measure", "n", *own_columns)
         checked = part if checked is None else checked.unionByName(part)
     return checked
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -22,6 +23,12 @@ def rows(df, *columns):
 # --- quantiles ----------------------------------------------------------------------------------
 
 
+def ranks_within(own, value, q):
+    low, high = np.searchsorted(own, value, "left"), np.searchsorted(own, value, "right")
+    room = quantiles.rank_error() * len(own) + 1
+    return low - room <= q * len(own) <= high + room
+
+
 def test_sketches_merge_within_the_bound(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.lognormal(2, 2, 30_000), np.full(20_000, 3), rng.integers(0, 10, 10_000)]).astype(np.int64)
@@ -34,21 +41,48 @@ def test_sketches_merge_within_the_bound(spark):
             by.setdefault(("g", g), []).append(v)
             by.setdefault(("day", d), []).append(v)
     seen = 0
-    for r in merged.select("level", "g", "day", "n", *[quantiles.percentile("sketch", q).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)]).collect():
+    for r in merged.select("level", "g", "day", "n", *[quantiles.whole_percentile("sketch", q).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)]).collect():
         own = np.sort(by[r["level"], r["g"] if r["level"] == "g" else r["day"]])
         assert r["n"] == len(own)
-        for q in (0.1, 0.5, 0.9):
-            low, high = np.searchsorted(own, r[f"q{int(q * 100)}"], "left"), np.searchsorted(own, r[f"q{int(q * 100)}"], "right")
-            room = 2 * quantiles.rank_error() * len(own) + 1
-            assert low - room <= q * len(own) <= high + room
+        assert all(ranks_within(own, r[f"q{int(q * 100)}"], q) for q in (0.1, 0.5, 0.9))
         seen += 1
     assert seen == len(by)
     assert rows(quantiles.sketches(df.where("false"), ["g"], ["v"])) == []
 
 
+def test_fractions_stay_fractions(spark):
+    rng = np.random.default_rng(4)
+    values = rng.random(8000) * 0.3
+    data = [(float(v), float(np.float32(v)), Decimal(f"{v:.4f}"), i) for i, v in enumerate(values)] + [(None, float("nan"), None, None), (float("nan"), None, None, None)]
+    df = spark.createDataFrame(data, "x double, f float, d decimal(10,4), i int").withColumn("g", F.lit("a"))
+    made = quantiles.merged(quantiles.sketches(df, ["g"], ["x", "f", "d", "i"]), [["g"]])
+    got = {r["measure"]: r for r in made.select("measure", "kind", "n", quantiles.percentile("sketch", 0.5).alias("p")).collect()}
+    assert {m: (r["kind"], r["n"]) for m, r in got.items()} == {"x": ("double", 8000), "f": ("double", 8000), "d": ("double", 8000), "i": ("bigint", 8000)}
+    for m, scale in (("x", 1.0), ("f", 1.0), ("d", 1.0)):
+        assert 0.1 < got[m]["p"] < 0.2 and ranks_within(np.sort(values) * scale, got[m]["p"], 0.5)
+    small = spark.createDataFrame([("a", n / 1000) for n in range(300)], "g string, v double")
+    assert quantiles.sketches(small, ["g"], ["v"]).select(quantiles.percentile("sketch", 0.5)).first()[0] == 0.149
+    with pytest.raises(TypeError):
+        quantiles.sketches(df, ["g"], ["g"])
+
+
+def test_stored_days_merge_by_range(spark, tmp_path):
+    df = spark.range(20_000).select((F.col("id") % 20).alias("day"), ((F.col("id") * 7919) % 20_000).alias("v"))
+    quantiles.sketches(df, ["day"], ["v"]).write.parquet(str(tmp_path / "days"))
+    part = spark.read.parquet(str(tmp_path / "days")).where("day < 8")
+    made = quantiles.merged(part, [[]]).select("n", quantiles.whole_percentile("sketch", 0.5)).first()
+    own = np.sort([(i * 7919) % 20_000 for i in range(20_000) if i % 20 < 8])
+    assert made[0] == len(own) and ranks_within(own, made[1], 0.5)
+
+
+def test_bound_and_confidence():
+    assert abs(quantiles.rank_error(400, 0.99) - 0.0103) < 1e-4
+    assert quantiles.rank_error() < 0.01 and quantiles.rank_error(confidence=0.99) < quantiles.rank_error()
+
+
 def test_small_groups_are_exact(spark):
     df = spark.createDataFrame([("a", v) for v in range(1, 102)], "g string, v long")
-    made = quantiles.sketches(df, ["g"], ["v"]).select(quantiles.percentile("sketch", 0.5)).first()[0]
+    made = quantiles.sketches(df, ["g"], ["v"]).select(quantiles.whole_percentile("sketch", 0.5)).first()[0]
     assert made == 51
 
 
