@@ -43,11 +43,6 @@ def test_query_without_sql_runs(spark, name):
     QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
 
 
-def test_rank_errors_of_small_groups(spark):
-    errors = QUERIES["p1_rank_errors"](spark, FOLDER).where("n <= 400").collect()
-    assert errors and all(r["beyond_bound"] == 0 and r["largest_rank_error"] <= 1 / r["n"] for r in errors)
-
-
 def test_descriptions_join_suggestions(spark):
     texts = [r["description"] for r in QUERIES["cx_13_description_all"](spark, FOLDER).collect()]
     titles = ("Extract Method", "Simplify Control Flow", "Reduce Nesting Depth", "Introduce Parameter Object", "Split Large Function", "Reduce Cognitive Complexity")
