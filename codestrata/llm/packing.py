@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 #: Items that are packed together, on average. A block leaves a few containers partly empty, so the room lost falls with the block.
 BLOCK_ITEMS = 65_536
-MAX_CAPACITIES = 64
+#: Copies of one key and size that travel as one row and lie in one block.
+COPIES = 1024
 
 
 class SumOfSquares:
@@ -89,12 +90,12 @@ def _packed(schema: pa.Schema):
         key, parts = None, []
         for batch in batches:
             at = 0
-            block, capacity = (batch.column(i).to_numpy() for i in (0, 2))
-            cuts = np.flatnonzero((block[1:] != block[:-1]) | (capacity[1:] != capacity[:-1])) + 1
+            block, own, capacity = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (own[1:] != own[:-1])) + 1
             for end in [*cuts.tolist(), batch.num_rows]:
                 if end == at:
                     continue
-                now = (int(block[at]), int(capacity[at]))
+                now = (int(block[at]), int(own[at]), int(capacity[at]))
                 if key is not None and now != key:
                     yield from _emit(key, parts, schema)
                     parts = []
@@ -107,18 +108,19 @@ def _packed(schema: pa.Schema):
     return run
 
 
-def _emit(key: tuple[int, int], parts: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _emit(key: tuple[int, int, int], parts: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(parts)
-    sizes = rows.column("tokens").to_numpy()
-    items, pieces, bins, _ = pack_block(sizes, key[1])
-    tokens = np.where(pieces < sizes[items] // key[1], key[1], sizes[items] - pieces * key[1])
+    order = np.repeat(np.arange(rows.num_rows), rows.column("copies").to_numpy())
+    sizes = rows.column("tokens").to_numpy()[order]
+    items, pieces, bins, _ = pack_block(sizes, key[2])
+    tokens = np.where(pieces < sizes[items] // key[2], key[2], sizes[items] - pieces * key[2])
     n = len(items)
     yield pa.RecordBatch.from_arrays(
         [
             rows.column("capacity_id").combine_chunks().slice(0, 1).take(pa.array(np.zeros(n, np.int64))),
             pa.array(np.full(n, key[0], np.int32)),
             pa.array(bins),
-            rows.column("item").combine_chunks().take(pa.array(items)),
+            rows.column("item").combine_chunks().take(pa.array(order[items])),
             pa.array(pieces),
             pa.array(tokens.astype(np.int32)),
         ],
@@ -129,25 +131,27 @@ def _emit(key: tuple[int, int], parts: list[pa.RecordBatch], schema: pa.Schema)
 def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]], count: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Assign every item to containers of each capacity, whole unless it is larger than the container.
 
-    ``capacities`` are (id, capacity) pairs, at most 64 and above 0; ``count`` is the number of
-    items, by which blocks are made. An item that is larger fills containers of its own and its
+    ``capacities`` are (id, capacity) pairs above 0, a parameter of as many rows as there are assignments to make; ``count`` is the number of
+    items, by which the number of blocks is set. An item that is larger fills containers of its own and its
     last piece is placed like an item. NULL and negative sizes count as 0: such items take no room and lie in
     their block's first container. Repeated keys are items of their own; an empty table gives no rows.
 
-    Items are spread over blocks by a hash of key and row, and each block is packed by itself,
-    so no task sees more than its block, also where one key is repeated very often, and the
-    number of blocks follows the input. The block of an item depends on how the input is split into tasks.
+    Items are spread over blocks by a hash of key and size, and each block is packed by itself in the order of key and size,
+    so the result depends on the items alone, not on how they are split into tasks or in which order they come. Equal items are counted before
+    the shuffle and spread over blocks in lots of ``COPIES``, so a key that holds a third of all rows fills many
+    blocks and no task sees more than its block; the number of blocks follows the input.
 
     Result: capacity_id, block, container (within the block), the key, piece_no, tokens.
     """
-    if len(capacities) > MAX_CAPACITIES or any(c <= 0 for _, c in capacities):
-        raise ValueError(f"{len(capacities)} capacities: between 1 and {MAX_CAPACITIES} above 0 are needed")
+    if not capacities or any(c <= 0 for _, c in capacities):
+        raise ValueError("capacities above 0 are needed")
     blocks = max(1, -(-count // block_items))
     source = items.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("tokens"))
-    block = F.pmod(F.xxhash64("item", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    lots = source.groupBy("item", "tokens").agg(F.count("*").alias("n")).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    placed = lots.select(F.pmod(F.xxhash64("item", "tokens", "lot"), F.lit(blocks)).cast("int").alias("block"), "item", "tokens", "lot", F.least(F.lit(COPIES), F.col("n") - F.col("lot") * COPIES).alias("copies"))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("capacity_id"), F.lit(c).alias("capacity")) for i, c in capacities]))
-    rows = source.withColumn("block", block).withColumn("c", each).select("block", "c.capacity_id", "c.capacity", "item", "tokens")
-    rows = rows.repartition("block", "capacity").sortWithinPartitions("block", "capacity", "item", "tokens")
+    rows = placed.withColumn("c", each).select("block", "c.capacity_id", "c.capacity", "item", "tokens", "lot", "copies")
+    rows = rows.repartition("block", "capacity_id").sortWithinPartitions("block", "capacity_id", "item", "tokens", "lot")
     out = T.StructType(
         [
             T.StructField("capacity_id", T.IntegerType()),
@@ -164,4 +168,4 @@ def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]
 
         return _packed(to_arrow_schema(out))(batches)
 
-    return rows.select("block", "capacity_id", "capacity", "item", "tokens").mapInArrow(run, out).withColumnRenamed("item", key)
+    return rows.select("block", "capacity_id", "capacity", "item", "tokens", "copies").mapInArrow(run, out).withColumnRenamed("item", key)

@@ -155,15 +155,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
-    """The container sizes; the packing refuses more than a few."""
-    rows = read(spark, sf_dir, "token_capacities").select("capacity_id", "capacity_tokens").distinct().limit(packing.MAX_CAPACITIES + 1).collect()
-    return [(r["capacity_id"], r["capacity_tokens"]) for r in rows]
+    """The container sizes, a small parameter table."""
+    return [(r["capacity_id"], r["capacity_tokens"]) for r in read(spark, sf_dir, "token_capacities").select("capacity_id", "capacity_tokens").distinct().collect()]
 
 
-def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents")
-    sizes = tokenizer.count_tokens(spread(documents.select("doc_id", "text")), "doc_id", "text")
-    return packing.pack(sizes, "doc_id", "tokens", capacities(spark, sf_dir), documents.count())
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.count_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def packed_documents(spark: SparkSession, sf_dir: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Documents in containers; their number, by which blocks are made, is in the footers of the table."""
+    return packing.pack(document_sizes(spark, sf_dir) if sizes is None else sizes, "doc_id", "tokens", capacities(spark, sf_dir), read(spark, sf_dir, "documents").count())
 
 
 @registry.add("p9_containers")
@@ -174,11 +176,39 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("p9_fill")
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and the share of room used, for each container size."""
+    """Containers, the number below which none can go, tokens and the share of room used, for each container size."""
     used = packed_documents(spark, sf_dir).groupBy("capacity_id", "block", "container").agg(F.sum("tokens").alias("tokens"))
     sizes = read(spark, sf_dir, "token_capacities").select(F.col("capacity_id").alias("c_id"), "capacity_tokens")
     total = used.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
-    return total.join(sizes, F.col("capacity_id") == F.col("c_id")).select("capacity_id", "containers", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
+    return total.join(sizes, F.col("capacity_id") == F.col("c_id")).select("capacity_id", "containers", least.alias("least"), "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+P9_CHECK_SQL = """
+select capacity_id, (select count(*) from documents) as documents, (select count(*) from documents where text is null or text = '') as without_tokens,
+  true as within_capacity, true as whole, true as complete
+from token_capacities
+"""
+
+
+@registry.add("p9_check", P9_CHECK_SQL)
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every assignment: no container is over its capacity, no document is cut that fits, no token is lost or added."""
+    sizes = spark.read.parquet(materialize(document_sizes(spark, sf_dir), "document-sizes"))
+    packed = spark.read.parquet(materialize(packed_documents(spark, sf_dir, sizes), "packed"))
+    rooms = read(spark, sf_dir, "token_capacities").select(F.col("capacity_id").alias("c_id"), "capacity_tokens")
+    own = F.col("capacity_id") == F.col("c_id")
+    filled = packed.groupBy("capacity_id", "block", "container").agg(F.sum("tokens").alias("tokens")).join(rooms, own)
+    containers = filled.groupBy("capacity_id").agg(F.bool_and(F.col("tokens") <= F.col("capacity_tokens")).alias("within_capacity"))
+    pieces = packed.groupBy("capacity_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("placed")).join(rooms, own)
+    asked = sizes.groupBy(F.col("doc_id").alias("s_id")).agg(F.sum("tokens").alias("size"))
+    told = pieces.join(asked, F.col("doc_id") == F.col("s_id"), "left").groupBy(F.col("capacity_id").alias("p_id")).agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("size") == 0).alias("without_tokens"),
+        F.bool_and(F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens")))).alias("whole"),
+        F.bool_and(F.col("placed").eqNullSafe(F.col("size"))).alias("complete"),
+    )
+    return containers.join(told, F.col("capacity_id") == F.col("p_id")).select("capacity_id", "documents", "without_tokens", "within_capacity", "whole", "complete")
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,8 +191,27 @@ def test_pack(spark):
         assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
         assert len(held) <= 1.05 * -(-sum(s or 0 for s in sizes) // capacity) + 8
     assert rows(packing.pack(df.where("false"), "doc_id", "tokens", [(1, 64)], 0)) == []
-    with pytest.raises(ValueError):
-        packing.pack(df, "doc_id", "tokens", [(1, 0)], 5)
+    for wrong in ([(1, 0)], []):
+        with pytest.raises(ValueError):
+            packing.pack(df, "doc_id", "tokens", wrong, 5)
+
+
+def test_placement_depends_on_the_items_alone(spark):
+    rng = random.Random(5)
+    data = [(7 if i % 3 == 0 else i, 5 if i % 3 == 0 else rng.choice([None, 0, 3, 9, 70]), "x") for i in range(9000)] + [(None, 4, "y"), (None, None, "y")]
+    df = spark.createDataFrame(data, "doc_id long, tokens int, block string")
+    pairs = [(1, 64), (2, 64), (3, 100)]
+    one = rows(packing.pack(df.repartition(2), "doc_id", "tokens", pairs, len(data), 500))
+    assert rows(packing.pack(df.repartition(5, "tokens"), "doc_id", "tokens", pairs, len(data), 500)) == one
+    assert rows(packing.pack(df.orderBy(F.rand(3)), "doc_id", "tokens", pairs, len(data), 500)) == one
+    hot = [r for r in one if r[0] == 1 and r[3] == 7]
+    assert len(hot) == 3001 and len({r[1] for r in hot}) >= 2  # equal items lie in several blocks
+    assert [r[1:] for r in one if r[0] == 1] == [r[1:] for r in one if r[0] == 2]
+
+
+def test_many_capacities(spark):
+    df = spark.createDataFrame([(i, i % 9) for i in range(50)], "doc_id long, tokens int")
+    assert packing.pack(df, "doc_id", "tokens", [(n, 10 + n) for n in range(100)], 50).select("capacity_id").distinct().count() == 100
 
 
 # --- abuse --------------------------------------------------------------------------------------
