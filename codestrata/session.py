@@ -53,6 +53,14 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """The files at a path with their lengths and times of change, by which one can tell whether they are still the same."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = system.listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write ``df`` once to the shared folder as Parquet and return its path.
 
