@@ -12,12 +12,10 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -26,15 +24,17 @@ from pyspark.sql import types as T
 
 from codestrata.tables import folded
 
-#: Labelled documents a model is fitted on at most, picked by a hash of the id.
+#: Labelled documents a model is fitted on at most, picked by a hash of the id, the bytes of their texts together, and of one text.
 TRAIN_DOCUMENTS = 25_000
+TRAIN_BYTES = 128 << 20
+TRAIN_TEXT_BYTES = 1 << 20
 THRESHOLD = 0.5
-#: A document is reported only if a sentence of this score can be shown; many harmless sentences add up otherwise.
-SENTENCE_THRESHOLD = 0.25
 STEPS = 100
-PENALTY = 4e-5
-#: The logit of a sentence of which nothing is known.
-BIAS = -5.0
+PENALTY = 2e-5
+#: The logit of a document's only sentence, of which nothing is known.
+BIAS = -3.0
+#: What a sentence's logit loses by the log of the number of sentences beside it; at 1 a document of harmless sentences scores the same whatever its length.
+LENGTH = 1.0
 FOLDS = 5
 #: Sentences and words that a scoring task remembers; bounds memory only.
 KNOWN_SENTENCES = 50_000
@@ -101,38 +101,51 @@ def _word(raw: str, cyrillic: bool) -> str:
     return _REPEATED.sub(r"\1", word)
 
 
-@lru_cache(maxsize=KNOWN_WORDS)
-def _pieces(token: str) -> tuple[str, ...]:
+def _pieces(token: str) -> list[str]:
     """The parts of what stands between blanks, in lower case, with placeholders for code names, paths, users and numbers."""
-    if not (token.isalpha() and (token.islower() or token[1:].islower())):
+    bare = token if token[-1].isalpha() else token[:-1]
+    if not (bare.isalpha() and (bare.islower() or bare[1:].islower())):
         token = _CODE.sub(lambda m: f" <{m.lastgroup}> ", token)
-    return tuple(_PIECE.findall(token.lower()))
+    return _PIECE.findall(token.lower())
 
 
 def _is_single(piece: str) -> bool:
     return len(piece) == 1 and piece.isalpha() and not "\u3000" <= piece <= "\u9fff"
 
 
-def words_of(sentence: str) -> list[str]:
+@lru_cache(maxsize=KNOWN_WORDS)
+def _token(token: str, cyrillic: bool) -> tuple[bool, tuple[str, ...]]:
+    """Whether a letter stands alone in what is between blanks, and its parts: as they are if one does, else as words."""
+    pieces = _pieces(token)
+    if any(map(_is_single, pieces)):
+        return True, tuple(pieces)
+    return False, tuple(w for p in pieces if (w := p if p[0] == "<" else _word(p, cyrillic)))
+
+
+def words_of(sentence: str) -> tuple[str, ...]:
     """The words of a sentence without disguise and with placeholders; letters that stand alone in a row are one word."""
-    text = _LEAD.sub("", _plain(sentence), count=1)
+    text = _plain(sentence)
+    if not text[:1].isalnum():
+        text = _LEAD.sub("", text, count=1)
     cyrillic = False
     if not text.isascii():
         other = sum("\u0400" <= c <= "\u04ff" for c in text)
         cyrillic = other > sum(c.isalpha() for c in text) - other
-    pieces: list[str] = []
+    parts = [_token(t, cyrillic) for t in text.split()]
+    if not any(alone for alone, _ in parts):
+        return tuple(w for _, own in parts for w in own)
+    words: list[str] = []
     single: list[str] = []
-    for token in [*text.split(), ""]:
-        for piece in _pieces(token) if token else ("",):
-            if _is_single(piece) or (single and piece in ("@", "$", "0", "1", "3", "4", "5")):
+    for raw, own in [*parts, (False, ("",))]:
+        for piece in own:
+            if (raw and _is_single(piece)) or (single and piece in ("@", "$", "0", "1", "3", "4", "5")):
                 single.append(piece)
                 continue
             if single:
-                pieces += [_word("".join(single), cyrillic)] if len(single) >= 3 else single
+                words += [_word("".join(single), cyrillic)] if len(single) >= 3 else single
                 single = []
-            if piece:
-                pieces.append(piece if piece[0] == "<" else _word(piece, cyrillic))
-    return [p for p in pieces if p]
+            words.append(_word(piece, cyrillic) if raw and piece[0] != "<" else piece)
+    return tuple(w for w in words if w)
 
 
 def word_features(word: str) -> list[str]:
@@ -150,86 +163,135 @@ def word_features(word: str) -> list[str]:
     return found
 
 
-def context_features(words: list[str]) -> Iterator[str]:
-    """Sequences of two to four words, with the ends of the sentence, and pairs around one word."""
-    framed = ["^", *words, "$"]
-    size = len(framed)
-    for i in range(size - 1):
-        yield f"b {framed[i]} {framed[i + 1]}"
-        if i + 2 < size:
-            yield f"t {framed[i]} {framed[i + 1]} {framed[i + 2]}"
-            yield f"s {framed[i]} {framed[i + 2]}"
-        if i + 3 < size:
-            yield f"q {framed[i]} {framed[i + 1]} {framed[i + 2]} {framed[i + 3]}"
-            yield f"r {framed[i]} {framed[i + 3]}"
+def numbered(names: set[str]) -> np.ndarray:
+    """Features as 32-bit numbers, each once; two of some million rarely share one."""
+    return np.unique(np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names], np.uint32))
+
+
+def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """A 32-bit number for a kind of feature and the numbers of its words."""
+    x = np.full(len(parts[0]), kind * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for part in parts:
+        x = (x ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+class Words:
+    """Words by number, with what each contributes whatever stands beside it."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.features: list[np.ndarray] = []
+        self.codes: list[int] = []
+        self.ends = self._add("^"), self._add("$")
+
+    def _add(self, word: str) -> int:
+        self.features.append(numbered(set(word_features(word))))
+        self.codes.append(zlib.crc32(("x " + word).encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 % 2**64)
+        return self.number.setdefault(word, len(self.number))
+
+    def of(self, words: tuple[str, ...]) -> list[int]:
+        known = self.number
+        return [known[w] if w in known else self._add(w) for w in words]
+
+    def contexts(self, sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences of two to four words, with the ends of the sentence, and pairs around one or two words: sentence and feature.
+
+        Computed for all sentences at once over one array of word numbers, windows that cross an end left out.
+        """
+        begin, end = self.ends
+        flat = np.fromiter((n for s in sentences for n in (begin, *s, end)), np.int64)
+        owner = np.repeat(np.arange(len(sentences), dtype=np.int32), [len(s) + 2 for s in sentences])
+        code = np.array(self.codes, np.uint64)[flat]
+        owners, numbers = [], []
+        for kind, places in enumerate(((0, 1), (0, 1, 2), (0, 2), (0, 1, 2, 3), (0, 3)), 1):
+            last = places[-1]
+            if len(flat) <= last:
+                continue
+            at = np.flatnonzero(owner[last:] == owner[:-last])
+            owners.append(owner[at])
+            numbers.append(_mixed(kind, *[code[at + p] for p in places]))
+        return (np.concatenate(owners), np.concatenate(numbers)) if owners else (np.zeros(0, np.int32), np.zeros(0, np.uint32))
 
 
-def numbered(names: set[str]) -> list[int]:
-    """Features as 32-bit numbers, each once; two of some million rarely share one."""
-    return list({zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names})
+def probability(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-logit))
 
 
-@dataclass
 class Model:
-    """Weights by the number of a feature, and the bias of a sentence."""
+    """Weights by the number of a feature, the bias of a sentence, and what the length of its document takes from it."""
 
-    weights: dict[int, float]
-    bias: float
+    def __init__(self, weights: dict[int, float], bias: float = BIAS, length: float = LENGTH) -> None:
+        self.weights, self.bias, self.length = weights, bias, length
+        order = sorted(weights)
+        self._names = np.array(order or [0], np.uint32)
+        self._values = np.array([weights[n] for n in order] or [0.0])
+        self._forget()
 
-    def __post_init__(self) -> None:
-        self._words: dict[str, tuple[float, int]] = {}
-        self._sentences: dict[str, float] = {}
+    def _forget(self) -> None:
+        self._words, self._totals, self._sentences = Words(), [], {}
 
     def dumps(self) -> str:
-        return json.dumps({"bias": self.bias, "weights": self.weights})
+        return json.dumps({"bias": self.bias, "length": self.length, "weights": self.weights})
 
     @classmethod
     def loads(cls, text: str) -> Model:
         made = json.loads(text)
-        return cls({int(n): w for n, w in made["weights"].items()}, made["bias"])
-
-    def score_words(self, words: list[str]) -> float:
-        """The probability that a sentence of these words offends."""
-        if not words:
-            return 0.0
-        weights, known = self.weights.get, self._words
-        total, size = 0.0, 0
-        for word in set(words):
-            got = known.get(word)
-            if got is None:
-                names = numbered(set(word_features(word)))
-                got = (sum(weights(n, 0.0) for n in names), len(names))
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                known[word] = got
-            total += got[0]
-            size += got[1]
-        context = numbered(set(context_features(words)))
-        total += sum(weights(n, 0.0) for n in context)
-        return float(1 / (1 + np.exp(-(self.bias + total / np.sqrt(size + len(context))))))
-
-    def sentence(self, text: str) -> float:
-        """The same for a sentence as it stands; most differ only in names and numbers, so their words are known."""
+        return cls({int(n): w for n, w in made["weights"].items()}, made["bias"], made["length"])
+
+    def _of(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self._names, numbers), len(self._names) - 1)
+        return np.where(self._names[at] == numbers, self._values[at], 0.0)
+
+    def evidence(self, sentences: list[tuple[str, ...]]) -> np.ndarray:
+        """What the words of sentences say, a number for each; sentences that are known are not computed again."""
         known = self._sentences
-        words = words_of(text)
-        key = " ".join(words)
-        got = known.get(key)
-        if got is None:
-            got = self.score_words(words)
-            if len(known) >= KNOWN_SENTENCES:
-                known.clear()
-            known[key] = got
-        return got
+        new = list(dict.fromkeys(s for s in sentences if s not in known))
+        if len(known) + len(new) > KNOWN_SENTENCES:
+            self._forget()
+            known = self._sentences
+            new = list(dict.fromkeys(sentences))
+        if new:
+            words, totals = self._words, self._totals
+            numbers = [words.of(s) for s in new]
+            totals += [(float(self._of(f).sum()), len(f)) for f in words.features[len(totals) :]]
+            total, size = np.array([[sum(x) for x in zip(*(totals[n] for n in set(s)), strict=True)] or [0.0, 0] for s in numbers]).T
+            owner, found = words.contexts(numbers)
+            total = total + np.bincount(owner, weights=self._of(found), minlength=len(new))
+            size = size + np.bincount(owner, minlength=len(new))
+            known.update(zip(new, (total / np.sqrt(np.maximum(1, size))).tolist(), strict=True))
+        return np.array([known[s] for s in sentences])
+
+    def documents(self, texts: list[str | None]) -> list[tuple[float, int, float, str | None]]:
+        """The score of each document, and the place, score and text of its worst sentence (-1, 0 and None if it has none).
+
+        A sentence that a document repeats counts once. The more sentences, the less one of them is
+        suspected beforehand, so that many harmless ones don't add up.
+        """
+        bags = []
+        for text in texts:
+            bag: dict[tuple[str, ...], tuple[int, str]] = {}
+            for i, sentence in enumerate(split_sentences(text or "")):
+                bag.setdefault(words_of(sentence), (i, sentence))
+            bag.pop((), None)
+            bags.append(bag)
+        evidence = self.evidence([s for bag in bags for s in bag])
+        out, at = [], 0
+        for bag in bags:
+            if not bag:
+                out.append((0.0, -1, 0.0, None))
+                continue
+            p = probability(self.bias + evidence[at : at + len(bag)] - self.length * np.log(len(bag)))
+            at += len(bag)
+            worst = int(p.argmax())
+            place, sentence = list(bag.values())[worst]
+            out.append((float(-np.expm1(np.log1p(-p).sum())), place, float(p[worst]), sentence))
+        return out
 
     def document(self, text: str | None) -> tuple[float, int, float]:
-        """The score of a document, and the place and score of its worst sentence (-1 and 0 if it has none)."""
-        clean, worst, at = 1.0, 0.0, -1
-        for i, sentence in enumerate(split_sentences(text or "")):
-            p = self.sentence(sentence)
-            clean *= 1 - p
-            if p > worst or at < 0:
-                worst, at = p, i
-        return 1 - clean, at, worst
+        return self.documents([text])[0][:3]
 
 
 def reviewer_error(votes_for: np.ndarray, votes_against: np.ndarray) -> float:
@@ -242,77 +304,109 @@ def reviewer_error(votes_for: np.ndarray, votes_against: np.ndarray) -> float:
 
 
 class _Bags:
-    """Sentences of the training documents as sparse rows, each distinct sentence once."""
+    """Sentences of the training documents as sparse rows, each distinct sentence once.
 
-    def __init__(self, texts: list[str | None]) -> None:
-        sentence_no: dict[tuple[str, ...], int] = {}
-        bags: list[np.ndarray] = []
-        for text in texts:
-            bag = {tuple(w) for s in split_sentences(text or "") if (w := words_of(s))}
-            bags.append(np.array(sorted(sentence_no.setdefault(w, len(sentence_no)) for w in bag), np.int32))
-        rows = []
-        for words in sentence_no:
-            own = [numbered(set(word_features(w))) for w in set(words)] + [numbered(set(context_features(list(words))))]
-            rows.append(np.array([n for part in own for n in part], np.uint32))
-        self.size = len(rows)
-        sizes = np.array([len(r) for r in rows], np.int64)
-        index = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-        del rows, sentence_no
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), sizes)
-        self.scale = 1 / np.sqrt(np.maximum(1, sizes))
-        numbers, counts = np.unique(index, return_counts=True)
-        self.names = numbers[counts >= 2]
-        keep = np.isin(index, self.names)
-        self.index = np.searchsorted(self.names, index[keep]).astype(np.int32)
-        self.owner = owner[keep]
-        self.docs = np.concatenate(bags) if bags else np.zeros(0, np.int32)
-        self.doc_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        self.count = len(bags)
-
-    def totals(self, weight: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
-        """The logit of each sentence, and minus the log of the probability that a document is clean."""
-        z = bias + self.scale * np.bincount(self.owner, weights=weight[self.index], minlength=self.size)
-        return z, np.bincount(self.doc_of, weights=np.logaddexp(0, z[self.docs]), minlength=self.count)
-
-    def optimise(self, yes: np.ndarray, no: np.ndarray, steps: int, penalty: float) -> tuple[np.ndarray, float]:
-        """Weights and bias that maximise the mean of log(P yes + (1 - P) no), less the penalty."""
-        weight, bias = np.zeros(len(self.names)), BIAS
+    Features that occur in exactly the same sentences have the same weight at every step, so they are kept as one column that counts several times.
+    """
+
+    def __init__(self) -> None:
+        self._sentence_no: dict[tuple[str, ...], int] = {}
+        self._bags: list[np.ndarray] = []
+
+    def add(self, text: str | None) -> None:
+        bag = {w for s in split_sentences(text or "") if (w := words_of(s))}
+        self._bags.append(np.array(sorted(self._sentence_no.setdefault(w, len(self._sentence_no)) for w in bag), np.int64))
+
+    def close(self) -> _Bags:
+        """Number the features of all sentences, once all documents are added."""
+        words = Words()
+        numbers = [words.of(s) for s in self._sentence_no]
+        self.size, self.count = len(numbers), len(self._bags)
+        self._sentence_no = {}
+        owner, index = words.contexts(numbers)
+        distinct = [sorted(set(s)) for s in numbers]
+        own = np.repeat(np.arange(self.size, dtype=np.int32), [sum(len(words.features[n]) for n in s) for s in distinct])
+        owner, index = np.concatenate([own, owner]), np.concatenate([*[words.features[n] for s in distinct for n in s], index]).astype(np.uint32)
+        self.scale = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=self.size)))
+        names, index = np.unique(index, return_inverse=True)
+        order = np.lexsort((owner, index))
+        index, owner = index[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]]) if len(index) else np.zeros(0, np.int64)
+        marks = np.random.default_rng(0).integers(1, 2**63, max(1, self.size), np.uint64)
+        sums = np.add.reduceat(marks[owner], starts) if len(starts) else np.zeros(0, np.uint64)
+        often = np.diff(np.r_[starts, len(index)]) >= 2
+        _, first, group = np.unique(sums[often], return_index=True, return_inverse=True)
+        self.names, self.group = names[often], group
+        self.times = np.bincount(group, minlength=len(first)).astype(float)
+        kept = np.full(len(names), -1, np.int64)
+        kept[np.flatnonzero(often)[first]] = np.arange(len(first))
+        column = kept[index]
+        self._column, self._row = column[column >= 0].astype(np.int32), owner[column >= 0]
+        order = np.argsort(self._column, kind="stable")
+        self._column, self._row = self._column[order], self._row[order]
+        self._column_starts = np.searchsorted(self._column, np.arange(len(first)))
+        by_row = np.argsort(self._row, kind="stable")
+        self._row_columns = self._column[by_row]
+        self._rows, self._row_starts = np.unique(self._row[by_row], return_index=True)
+        self.docs = np.concatenate(self._bags) if self._bags else np.zeros(0, np.int64)
+        lengths = np.array([len(b) for b in self._bags], np.int64)
+        self.doc_of = np.repeat(np.arange(self.count), lengths)
+        self.log_length = np.log(np.maximum(1, lengths))[self.doc_of]
+        return self
+
+    def totals(self, weight: np.ndarray, bias: float, length: float) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of each sentence in each document, and minus the log of the probability that a document is clean."""
+        evidence = np.zeros(self.size)
+        if len(self._rows):
+            evidence[self._rows] = np.add.reduceat((weight * self.times)[self._row_columns], self._row_starts)
+        z = (bias + self.scale * evidence)[self.docs] - length * self.log_length
+        return z, np.bincount(self.doc_of, weights=np.logaddexp(0, z), minlength=self.count)
+
+    def optimise(self, yes: np.ndarray, no: np.ndarray, steps: int, penalty: float, length: float) -> np.ndarray:
+        """Weights of the columns that maximise the mean of log(P yes + (1 - P) no), less the penalty."""
+        weight = np.zeros(len(self.times))
         m, v = np.zeros_like(weight), np.zeros_like(weight)
         n_docs = int((yes != no).sum()) or 1
         for step in range(1, steps + 1):
-            z, total = self.totals(weight, bias)
+            z, total = self.totals(weight, BIAS, length)
             clean = np.exp(-total)
             slope = -(yes - no) * clean / np.maximum((1 - clean) * yes + clean * no, 1e-12)
-            per_sentence = np.bincount(self.docs, weights=slope[self.doc_of], minlength=self.size) / (1 + np.exp(-z))
-            gradient = np.bincount(self.index, weights=(per_sentence * self.scale)[self.owner], minlength=len(weight)) / n_docs + penalty * weight / np.sqrt(n_docs)
+            per_sentence = np.bincount(self.docs, weights=slope[self.doc_of] * probability(z), minlength=self.size)
+            gradient = np.add.reduceat((per_sentence * self.scale)[self._row], self._column_starts) / n_docs + penalty * weight / np.sqrt(n_docs)
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             rate = 0.15 * min(1.0, 3 * (steps + 1 - step) / steps)
             weight -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        return weight, bias
+        return weight
 
 
-def fit(texts: list[str | None], votes_for: np.ndarray, votes_against: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Model:
+def fit(texts: Iterable[str | None], votes_for: np.ndarray, votes_against: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, length: float = LENGTH) -> Model:
     """Fit sentence weights so that the noisy-or of each document explains its reviewers' opinions.
 
     Reviewers err at a rate that their disagreements show. A first pass fits on all folds but one
     and asks what the rest looks like to it; the second fits on what an opinion and that view
     together make likely, so that a wrong opinion on a harmless document isn't learned by heart.
     """
+    bags = _Bags()
+    for text in texts:
+        bags.add(text)
+    return fit_bags(bags.close(), votes_for, votes_against, steps, penalty, length)
+
+
+def fit_bags(bags: _Bags, votes_for: np.ndarray, votes_against: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, length: float = LENGTH) -> Model:
+    if not len(bags.times):
+        return Model({}, BIAS, length)
     error = reviewer_error(votes_for, votes_against)
-    bags = _Bags(texts)
-    if not bags.size or not len(bags.names):
-        return Model({}, BIAS)
     yes = (1 - error) ** votes_for * error**votes_against
     no = error**votes_for * (1 - error) ** votes_against
     fold = np.arange(bags.count) % FOLDS
     seen = np.zeros(bags.count)
     for k in range(FOLDS):
-        weight, bias = bags.optimise(np.where(fold == k, 1.0, yes), np.where(fold == k, 1.0, no), steps // 2, penalty)
-        seen[fold == k] = 1 - np.exp(-bags.totals(weight, bias)[1][fold == k])
+        weight = bags.optimise(np.where(fold == k, 1.0, yes), np.where(fold == k, 1.0, no), steps // 2, penalty, length)
+        seen[fold == k] = 1 - np.exp(-bags.totals(weight, BIAS, length)[1][fold == k])
     seen = np.clip(seen, 0.08, 0.97)
     likely = seen * yes / (seen * yes + (1 - seen) * no)
-    weight, bias = bags.optimise(likely, 1 - likely, steps, penalty)
-    return Model({int(n): round(float(w), 4) for n, w in zip(bags.names, weight, strict=True) if abs(w) >= 0.01}, bias)
+    weight = bags.optimise(likely, 1 - likely, steps, penalty, length)[bags.group]
+    return Model({int(n): round(float(w), 4) for n, w in zip(bags.names, weight, strict=True) if abs(w) >= 0.01}, BIAS, length)
 
 
 def votes(labels: DataFrame, doc: str, reviewer: str, label: str, at: str) -> DataFrame:
@@ -325,22 +419,35 @@ def votes(labels: DataFrame, doc: str, reviewer: str, label: str, at: str) -> Da
     return last.groupBy("doc").agg(F.count_if(F.col("held.label") == "abusive").alias("votes_for"), F.count_if(F.col("held.label") == "ok").alias("votes_against"))
 
 
-def train(documents: DataFrame, opinions: DataFrame, doc: str, text: str, most: int = TRAIN_DOCUMENTS) -> Model:
-    """A model fitted by one task on at most ``most`` labelled documents, which a hash of the id picks.
+def train(documents: DataFrame, opinions: DataFrame, doc: str, text: str, most: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model fitted by one task on a sample of labelled documents, which a hash of the id picks.
 
-    Only labelled documents are shuffled, and only the weights come to the driver. Without labels the
-    model knows nothing and reports nothing.
+    The sample has about ``most`` documents, at most that many, none with a text over ``TRAIN_TEXT_BYTES``, and of
+    ``most_bytes`` together; the hash picks among the opinions, before the join, and the task
+    reads texts one batch at a time in the order of the hash, keeping sentences and no texts. Only the weights come to the driver.
+    A document without opinions, or whose id is NULL, isn't picked. Without labels the model knows nothing and reports nothing.
     """
-    labelled = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(opinions, "doc")
-    picked = labelled.orderBy(F.xxhash64("doc"), "doc").limit(most).repartition(1)
-
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("doc", kind="stable")
-        made = fit(rows["text"].tolist(), rows["votes_for"].to_numpy(float), rows["votes_against"].to_numpy(float))
-        yield pd.DataFrame({"model": [made.dumps()]})
+    own = F.xxhash64("doc")
+    labelled = opinions.count()
+    if labelled > most:
+        opinions = opinions.where(F.pmod(own, F.lit(1 << 30)) < F.lit(int(most / labelled * (1 << 30))))
+    texts = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_TEXT_BYTES)
+    picked = texts.join(opinions, "doc").select("doc", "text", "votes_for", "votes_against").repartition(1).sortWithinPartitions(own, "doc", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, votes_for, votes_against, held = _Bags(), [], [], 0
+        for batch in batches:
+            for t, f, a in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "votes_for", "votes_against")), strict=True):
+                held += len(t or "")
+                if held <= most_bytes and len(votes_for) < most:
+                    bags.add(t)
+                    votes_for.append(f)
+                    votes_against.append(a)
+        made = fit_bags(bags.close(), np.array(votes_for, float), np.array(votes_against, float))
+        yield pa.RecordBatch.from_arrays([pa.array([made.dumps()], pa.string())], names=["model"])
 
-    learned = picked.select("doc", "text", "votes_for", "votes_against").mapInPandas(learn, "model string").first()
-    return Model.loads(learned["model"]) if learned else Model({}, BIAS)
+    learned = picked.mapInArrow(learn, "model string").first()
+    return Model.loads(learned["model"]) if learned else Model({})
 
 
 def score(documents: DataFrame, doc: str, text: str, model: Model) -> DataFrame:
@@ -359,20 +466,19 @@ def score(documents: DataFrame, doc: str, text: str, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_here = Model.loads(shared.value)
+        types = (pa.float64(), pa.int32(), pa.float64(), pa.string())
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found = [model_here.document(t) for t in texts]
-            worst = [split_sentences(t or "")[at] if at >= 0 else None for t, (_, at, _) in zip(texts, found, strict=True)]
+            found = model_here.documents(batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns += [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.float64()), pa.array(worst, pa.string())]
+            columns += [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *result])
 
     return documents.select(*kept, text).mapInArrow(run, schema)
 
 
-def is_flagged(threshold: float = THRESHOLD, sentence_threshold: float = SENTENCE_THRESHOLD) -> Column:
+def is_flagged(threshold: float = THRESHOLD) -> Column:
     """Whether a scored document is reported."""
-    return (F.col("score") >= threshold) & (F.col("sentence_score") >= sentence_threshold)
+    return F.col("score") >= threshold
 
 
 def rates(scored: DataFrame, by: str) -> DataFrame:

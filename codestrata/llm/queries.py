@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import abuse, packing, quantiles, tokenizer, topn
 from codestrata.plans.registry import Registry
-from codestrata.session import materialize, spread
+from codestrata.session import materialize, spread, stamp
 from codestrata.tables import folded, holding, read, reference, utc_day
 
 registry = Registry()
@@ -211,10 +211,22 @@ def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.join(told, F.col("capacity_id") == F.col("p_id")).select("capacity_id", "documents", "without_tokens", "within_capacity", "whole", "complete")
 
 
+#: Models by application and by the files they were fitted on.
+_models: dict[tuple, abuse.Model] = {}
+
+
+def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
+    """The model of these tables, fitted once for an application as long as their files stay the same."""
+    key = (spark.sparkContext.applicationId, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "doc_labels")))
+    if key not in _models:
+        opinions = abuse.votes(read(spark, sf_dir, "doc_labels"), "doc_id", "reviewer", "label", "labelled_at")
+        _models[key] = abuse.train(read(spark, sf_dir, "documents"), opinions, "doc_id", "text")
+    return _models[key]
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    opinions = abuse.votes(read(spark, sf_dir, "doc_labels"), "doc_id", "reviewer", "label", "labelled_at")
-    return abuse.score(spread(documents), "doc_id", "text", abuse.train(documents, opinions, "doc_id", "text"))
+    return abuse.score(spread(documents), "doc_id", "text", abuse_model(spark, sf_dir))
 
 
 @registry.add("p10_found")

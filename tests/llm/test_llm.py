@@ -222,20 +222,20 @@ def test_many_capacities(spark):
     [("W0RTHLE$5", "worthless"), ("i.d.i.o.t", "idiot"), ("M-i-s-t", "mist"), ("ssssstupid", "stupid"), ("mоrоn", "moron"), ("l@zy verm1n", "lazy vermin"), ("d u m b", "dumb"), ("ｉｄｉｏｔ", "idiot"), ("id​iot", "idiot"), ("pr*ck", "pr*ck")],
 )
 def test_words_without_disguise(disguised, plain):
-    assert abuse.words_of(disguised) == plain.split()
+    assert list(abuse.words_of(disguised)) == plain.split()
 
 
 def test_placeholders_and_sentences():
-    assert abuse.words_of("[10:01] @abc: see /src/a.go, run 12c5e731, @xyz fixed load_index and parseIndex 15 times") == "see <path> run <hash> <user> fixed <name> and <name> <num> times".split()
+    assert abuse.words_of("[10:01] @abc: see /src/a.go, run 12c5e731, @xyz fixed load_index and parseIndex 15 times") == tuple("see <path> run <hash> <user> fixed <name> and <name> <num> times".split())
     assert len(abuse.split_sentences("One. Two! 三。四\nFive e.g.x")) == 5
-    assert abuse.split_sentences("") == [] and abuse.words_of("  ") == []
+    assert abuse.split_sentences("") == [] and abuse.words_of("  ") == ()
 
 
 @pytest.mark.parametrize("text", ["Ab3" * 60_000, "x" * 60_000 + "1*", "a.b" * 60_000, "1a" * 60_000, "(" * 60_000, "@" * 60_000, "- " * 60_000, "/a" * 60_000, "e\u0301" * 60_000, "a b " * 30_000, "\u597d" * 60_000])
 def test_long_texts_without_sentences(text):
     began = time.perf_counter()
-    assert isinstance(abuse.words_of(text), list)
-    assert abuse.Model({}, -5.0).document(text)[0] < 0.05
+    assert isinstance(abuse.words_of(text), tuple)
+    assert abuse.Model({}).document(text)[0] < 0.05
     assert time.perf_counter() - began < 30
 
 
@@ -266,6 +266,40 @@ def test_model_learns_sentences_from_documents():
     assert model.document(None) == (0.0, -1, 0.0) == model.document(" \n")
 
 
+def test_length_alone_raises_no_suspicion():
+    texts, truth, votes = labelled()
+    model = abuse.fit(texts[:400], votes[:400], 1 - votes[:400], steps=60)
+    unknown = abuse.Model({})
+    assert abs(unknown.document("alpha beta. gamma")[0] - unknown.document(". ".join(f"w{i} x{i}" for i in range(5000)))[0]) < 0.01
+    assert model.document(". ".join(f"the value{i} returns early" for i in range(2000)))[0] < 0.5
+    bad = "you stupid pig, go away"
+    assert model.document(bad)[0] > 0.5 and model.document(". ".join([bad] * 50))[0] == model.document(bad)[0]
+    assert model.document(". ".join([*(f"closed as a slow loop{i} duplicate" for i in range(30)), bad]))[1] == 30
+
+
+def test_columns_that_always_meet_count_several_times():
+    texts, _, votes = labelled()
+    bags = abuse._Bags()
+    for t in texts[:60]:
+        bags.add(t)
+    bags.close()
+    assert bags.times.sum() == len(bags.names) == len(bags.group) and len(bags.times) < len(bags.names)
+    rng = np.random.default_rng(0)
+    weight = rng.normal(size=len(bags.times))
+    model = abuse.Model({int(n): float(w) for n, w in zip(bags.names, weight[bags.group], strict=True)})
+    clean = np.exp(-bags.totals(weight, abuse.BIAS, abuse.LENGTH)[1])
+    assert np.allclose(1 - clean, [d[0] for d in model.documents(texts[:60])])
+
+
+def test_sample_is_bounded(spark):
+    texts, _, votes = labelled()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(600, "x" * (2 << 20))], "doc_id long, text string")
+    opinions = spark.createDataFrame([(i, int(v), int(1 - v)) for i, v in enumerate(votes)] + [(600, 1, 0)], "doc long, votes_for long, votes_against long")
+    for bounds in ({"most": 50}, {"most_bytes": 5000}, {"most": 0}):
+        assert isinstance(abuse.train(df, opinions, "doc_id", "text", **bounds), abuse.Model)
+    assert abuse.train(df, opinions, "doc_id", "text", most=0).weights == {}
+
+
 def test_fit_without_labels():
     model = abuse.fit([], np.zeros(0), np.zeros(0))
     assert model.weights == {} and model.document("anything")[0] < 0.1
