@@ -144,7 +144,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five functions of highest complexity of every run that metrics refer to."""
     rows = read(spark, sf_dir, "complexity_metrics").select("id", "updated_at", "loaded_at", reference("analysis_run_id").alias("analysis_run_id"), "cyclomatic_complexity", "function_name")
     held = holding(rows, ["id"], ["updated_at", "loaded_at"], ["analysis_run_id", "cyclomatic_complexity", "function_name"])
-    top = topn.top_items(held, "analysis_run_id", "cyclomatic_complexity", [F.col("function_name").asc_nulls_last(), F.col("id").asc()], TOP_N)
+    top = topn.top_items(held, "analysis_run_id", "cyclomatic_complexity", [F.col("function_name").asc_nulls_last(), F.col("id").asc()], TOP_N, scores=rows)
     return top.select("analysis_run_id", F.col("rank_no").cast("int").alias("rank_no"), "id")
 
 

@@ -107,6 +107,19 @@ def test_top_items_against_brute_force(spark):
     assert rows(topn.top_items(df.withColumn("score", F.lit(1)), "g", "score", ties, 1), "rank_no")[0] == (1,)
 
 
+def test_many_items_of_a_hot_group(spark):
+    rng = random.Random(8)
+    data = [("hot" if i % 4 else f"g{i % 12}", rng.randrange(40), i) for i in range(6000)] + [(None, 1, -1), ("x", None, -2)]
+    df = spark.createDataFrame(data, "g string, score int, id int")
+    expected = []
+    for g in {d[0] for d in data} - {None}:
+        own = sorted((d for d in data if d[0] == g and d[1] is not None), key=lambda d: (-d[1], d[2]))
+        expected += [(g, n + 1, d[2]) for n, d in enumerate(own[:1200])]
+    assert rows(topn.top_items(df, "g", "score", [F.col("id").asc()], 1200), "g", "rank_no", "id") == sorted(expected, key=repr)
+    odd = spark.createDataFrame([(0,)], "score int").where("false")  # edges from elsewhere change nothing
+    assert rows(topn.top_items(df, "g", "score", [F.col("id").asc()], 1200, scores=odd), "g", "rank_no", "id") == sorted(expected, key=repr)
+
+
 # --- tokenizer ----------------------------------------------------------------------------------
 
 BPE = tokenizer.tokenizer(tokenizer.vocabulary())
