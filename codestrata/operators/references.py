@@ -36,7 +36,8 @@ def orphan_references(references: list[Reference]) -> DataFrame:
 
     The distinct keys of all references, each with its earliest load (a map-side combined
     aggregate, so a key that holds a third of all rows costs one row per task), are anti-joined
-    with the parent keys. Only the few keys in question meet the referring rows again: that join
+    with the parent keys that landed in time. What the anti-join leaves are the keys in question, missing and late ones
+    at once, so the referring rows are read twice: for their keys, and to be joined back with the few keys in question. That join
     has unique keys on one side, which adaptive execution may broadcast once their measured size
     is below the session's limit, or else splits where the referring rows are skewed.
 
@@ -54,9 +55,12 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     parents = parents.groupBy("target", "p_key").agg(F.min("p_loaded").alias("p_first"))
     target_of = F.element_at(F.array(*[F.lit(r.target) for r in references]), F.col("ref") + 1)
     keys = children.groupBy("ref", "key").agg(F.min("loaded").alias("first")).withColumn("target", target_of)
-    missing = keys.join(parents, (keys["target"] == parents["target"]) & (keys["key"] == parents["p_key"]), "left_anti").select(F.col("ref").alias("k_ref"), F.col("key").alias("k_key"), F.lit(None).cast("timestamp").alias("p_first"), F.lit("missing").alias("kind"))
-    late = keys.join(parents, (keys["target"] == parents["target"]) & (keys["key"] == parents["p_key"]) & (keys["first"] < parents["p_first"])).select(F.col("ref").alias("k_ref"), F.col("key").alias("k_key"), "p_first", F.lit("late").alias("kind"))
-    found = children.join(missing.unionByName(late), (F.col("ref") == F.col("k_ref")) & (F.col("key") == F.col("k_key")))
+    same = (keys["target"] == parents["target"]) & (keys["key"] == parents["p_key"])
+    in_time = F.coalesce(F.col("first") >= F.col("p_first"), F.lit(True))
+    asked = keys.join(parents, same & in_time, "left_anti").select(F.col("target").alias("k_target"), F.col("ref").alias("k_ref"), F.col("key").alias("k_key"))
+    kind = F.when(F.col("p_key").isNull(), "missing").otherwise("late").alias("kind")
+    known = asked.join(parents, (F.col("k_target") == F.col("target")) & (F.col("k_key") == F.col("p_key")), "left").select("k_ref", "k_key", kind, "p_first")
+    found = children.join(known, (F.col("ref") == F.col("k_ref")) & (F.col("key") == F.col("k_key")))
     rows = found.groupBy("ref", "row_id", "key", "kind", "p_first").agg(F.min("loaded").alias("first_loaded")).where((F.col("kind") == "missing") | (F.col("first_loaded") < F.col("p_first")))
     names = F.element_at(F.array(*[F.struct(F.lit(r.table).alias("t"), F.lit(r.column).alias("c")) for r in references]), F.col("ref") + 1)
     return rows.select(names["t"].alias("table_name"), names["c"].alias("column_name"), "row_id", F.col("key").alias("key_value"), "kind", "first_loaded")
