@@ -169,6 +169,17 @@ def test_trailing_totals_against_brute_force(spark):
     assert rows(trailing_totals(df.where("false"), [7])) == []
 
 
+def test_totals_do_not_depend_on_order(spark):
+    tenths = [0.1, 0.2, 0.3, 1e15, 0.7]
+    df = spark.createDataFrame([("a", day(n), tenths[n % 5]) for n in range(10)] + [("b", day(0), float("nan")), ("b", day(1), float("inf")), ("b", day(2), 0.1)], "entity string, day date, amount double")
+    made = trailing_totals(df, [5])
+    assert len({r["total_5"] for r in made.where("entity = 'a'").collect() if r["day"] >= day(4)}) == 1
+    assert {r["day"] for r in peak_days(made, [5]).where("entity = 'a'").collect()} >= {day(n) for n in range(4, 10)}
+    assert rows(made.where("entity = 'b'"), "total_5") == [(0.0,), (0.0,), (0.1,)]
+    whole = trailing_totals(df.withColumn("amount", F.lit(3)), [5])
+    assert max(r["total_5"] for r in whole.collect()) == 15.0
+
+
 # --- intervals ----------------------------------------------------------------------------------
 
 
@@ -188,6 +199,7 @@ def test_interval_map(spans):
     state = IntervalMap()
     for s, n in spans:
         state.add(s, s + n)
+        assert state.gaps == list(zip(state.ends[:-1], state.starts[1:], strict=True))
     assert list(zip(state.starts, state.ends, strict=True)) == brute_periods([(s, s + n) for s, n in spans])
 
 
@@ -198,10 +210,11 @@ def test_periods_against_brute_force(spark):
         for _ in range(n):
             s = rng.randrange(0, 300) * US // 3
             data.append((e, s, s + rng.choice([0, -5, US // 3, US // 3, 2 * US, 40 * US // 7])))
+    data += [("d", 5, 250_000_000 * US // 100), ("d", 3 * US, 4 * US), ("d", 90 * US, 90 * US + 1)]  # an end in the year 8815
     data += [("b", None, 5), ("b", 5, None), ("c", 0, 200 * US), ("c", 0, 200 * US), ("c", 90 * US, 91 * US)]
     df = spark.createDataFrame(data, "entity string, start_us long, end_us long")
     expected = []
-    for e in ("hot", "b", "c", None):
+    for e in ("hot", "b", "c", "d", None):
         periods = brute_periods([(s, t) for k, s, t in data if k == e and s is not None and t is not None])
         expected += [(e, "period", *p) for p in periods] + [(e, "gap", a[1], b[0]) for a, b in zip(periods, periods[1:], strict=False)]
     for width in (32, 1, 7, 10_000):

@@ -13,6 +13,7 @@ from codestrata.functions import scoring, text
 from codestrata.operators import sinks, store, writes
 from codestrata.operators.asof import last_before
 from codestrata.sources.versions import VersionedTable
+from codestrata.operators.intervals import periods_and_gaps
 from codestrata.streaming import activity, intervals
 
 EDGES = [(c, g, n, p, x) for c in (5, 6, 10, 11, 15, 16, 20, 21) for g in (7, 8, 15, 16, 20, 21, 25, 26) for n in (3, 4, 5, 6, 7, 8) for p, x in ((5, 150), (6, 199), (7, 200), (8, 351), (4, 51))]
@@ -148,7 +149,21 @@ def test_streams(spark, tmp_path):
         (tmp_path / "spans").mkdir(exist_ok=True)
         (next((tmp_path / f"span{n}").glob("part-*.parquet"))).rename(tmp_path / "spans" / f"{n}.parquet")
     live = activity.run_to_end(intervals.live_periods(activity.stream_files(spark, str(tmp_path / "spans"), spans)), "live", "update")
-    assert ("a", "period", 0, 15) in rows(live) and ("a", "gap", 5, 10) in rows(live) and ("b", "period", 1, 2) in rows(live)
+    told = rows(live, "entity", "kind", "start_us", "end_us")
+    assert ("a", "period", 0, 15) in told and ("a", "gap", 5, 10) in told and told.count(("b", "period", 1, 2)) == 1
+    assert rows(intervals.joined_periods(live)) == [("a", "period", 0, 15), ("b", "period", 1, 2)]
+
+    day = 86_400_000_000
+    for n, part in enumerate(([("a", 0, 3 * day), ("a", 2 * day, 2 * day + 5), (None, 5, 6)], [("a", 4 * day, 9 * day), ("a", 3 * day, 3 * day + 1)], [("a", 30 * day, 31 * day)], [("a", 1, 40 * day), ("a", 40 * day, 41 * day)])):
+        moved = [(e, a + 1000 * day, b + 1000 * day) for e, a, b in part]
+        spark.createDataFrame(moved, spans).coalesce(1).write.parquet(str(tmp_path / f"long{n}"))
+        (tmp_path / "long").mkdir(exist_ok=True)
+        (next((tmp_path / f"long{n}").glob("part-*.parquet"))).rename(tmp_path / "long" / f"{n}.parquet")
+    stream = lambda: activity.stream_files(spark, str(tmp_path / "long"), spans)
+    whole = rows(periods_and_gaps(spark.read.schema(spans).parquet(str(tmp_path / "long")), F.col("entity"), F.col("start_us"), F.col("end_us")))
+    assert rows(intervals.joined_periods(activity.run_to_end(intervals.live_periods(stream(), slice_days=2), "cut", "update"))) == whole
+    kept = rows(intervals.joined_periods(activity.run_to_end(intervals.live_periods(stream(), slice_days=2, keep_days=1), "kept", "update")))
+    assert ("a", "period", 1000 * day, 1003 * day + 1) in kept and ("a", "period", 1000 * day, 1041 * day) not in kept  # the interval from 1 came too late
 
     table = VersionedTable(spark, str(tmp_path / "store"))
     (tmp_path / "store").mkdir()
