@@ -38,16 +38,34 @@ def newline_count(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0))
 
 
-def clean_path(path: str | None) -> str | None:
+def cleaned(path: Column) -> Column:
+    """A path without empty, ``.`` and ``x/..`` parts and without a last slash, by its text alone; ``.`` if nothing is left.
+
+    A leading slash stays, and so do ``..`` parts that lead out of a relative path.
+    """
+    rooted = path.startswith("/")
+    none = F.array().cast("array<string>")
+    step = lambda kept, part: (
+        F.when(part.isin("", "."), kept)
+        .when((part == "..") & (F.size(kept) > 0) & F.coalesce(F.get(kept, F.size(kept) - 1) != "..", F.lit(False)), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .when((part == "..") & rooted, kept)
+        .otherwise(F.concat(kept, F.array(part)))
+    )
+    joined = F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+    slow = F.when(rooted, F.concat(F.lit("/"), joined)).otherwise(F.when(joined == "", ".").otherwise(joined))
+    return F.when((path == "") | path.rlike(r"//|(^|/)\.\.?(/|$)|./$"), slow).otherwise(path)
+
+
+def canonical_path(path: Column | str) -> Column:
     """Forward slashes, a leading slash, no empty, ``.`` or ``..`` parts."""
-    if path is None:
-        return None
-    return posixpath.normpath("/" + path.replace("\\", "/").lstrip("/"))
+    return cleaned(F.concat(F.lit("/"), F.ltrim(slashed(F.col(path) if isinstance(path, str) else path), F.lit("/"))))
 
 
-@F.pandas_udf(T.StringType())
-def canonical_path(paths: pd.Series) -> pd.Series:
-    return paths.map(clean_path)
+def relative_path(root: str, path: Column) -> Column:
+    """A path below a root without it, ``.`` for the root itself; empty for one outside."""
+    full, base = cleaned(path), posixpath.normpath(root)
+    inside = base.rstrip("/") + "/"
+    return F.when(full == base, ".").when(full.startswith(inside), F.substring(full, F.lit(len(inside) + 1), F.length(full))).otherwise(F.when(full.isNotNull(), ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -56,15 +74,6 @@ def one_decimal(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
 
 
-def relative_path(root: str, path: str) -> str:
-    """A path below a root without it; empty for one outside."""
-    full = posixpath.normpath(path)
-    base = posixpath.normpath(root)
-    if full == base:
-        return "."
-    return full[len(base.rstrip("/")) + 1 :] if full.startswith(base.rstrip("/") + "/") else ""
-
-
 def try_int(text: Column) -> Column:
     """An integer, or NULL for what is none."""
     return text.try_cast("int")

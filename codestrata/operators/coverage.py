@@ -7,10 +7,13 @@ uncovered_lines; an unknown branch or function coverage is -1.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.text import basename, fingerprint, one_decimal, slashed
+from codestrata.functions.text import basename, cleaned, fingerprint, one_decimal, relative_path, slashed
+from codestrata.tables import blank_trim
 
 MAX_ARTIFACT_BYTES = 20 * 1024 * 1024
 # Where artifacts lie below a build root, and the format of each name in the order of parsers.
@@ -223,41 +226,71 @@ def rejected_artifacts(artifacts: DataFrame) -> DataFrame:
 def with_root(artifacts: DataFrame, roots: DataFrame) -> DataFrame:
     """Artifacts with build_root, or an error: an explicit root has to be detected; of several the name's prefix decides.
 
-    ``roots`` (dir, relative to the repository) are the few build roots of one repository.
+    ``roots`` (dir, relative to the repository, empty for the repository itself) are the few build roots of one repository. An explicit root is
+    read with either slash, without outer blanks and with its ``.`` and ``..`` parts resolved; it may neither be absolute nor lead out of
+    the repository. Without one the only build root is taken, or the first, by depth and name, whose directory the name begins with.
     """
-    dirs = roots.agg(F.sort_array(F.collect_set("dir")).alias("dirs"))
-    clean = F.regexp_replace(F.coalesce("root", F.lit("")), "^[./]+|/+$", "")
-    matches = F.filter("dirs", lambda d: (d != "") & F.col("name").startswith(F.concat(d, F.lit("/"))))
-    outside = F.coalesce(F.col("root"), F.lit("")).startswith("..")
-    explicit = F.coalesce(F.col("root"), F.lit("")) != ""
+    depth = lambda d: F.size(F.split(d, "/"))
+    dirs = roots.agg(F.transform(F.array_sort(F.collect_set(F.struct(depth(F.col("dir")).alias("depth"), "dir"))), lambda x: x["dir"]).alias("dirs"))
+    given = F.coalesce("root", F.lit(""))
+    asked = blank_trim(slashed(given))
+    clean = F.when(cleaned(asked) == ".", "").otherwise(cleaned(asked))
+    named = cleaned(slashed(F.col("name")))
+    matches = F.filter("dirs", lambda d: (d != "") & named.startswith(F.concat(d, F.lit("/"))))
+    explicit = given != ""
+    wrong = (
+        F.when(explicit & (asked == ""), "root is empty")
+        .when(explicit & (asked.startswith("/") | asked.rlike("^[A-Za-z]:/")), "root is not relative to the repository")
+        .when(explicit & clean.rlike(r"^\.\.(/|$)"), "root is outside the repository")
+    )
     found = (
-        F.when(explicit & ~outside & F.array_contains("dirs", clean), clean)
-        .when(~explicit & (F.size("dirs") == 1), F.col("dirs")[0])
-        .when(~explicit & (F.size("dirs") == 0), F.lit(""))
-        .when(~explicit & (F.size(matches) == 1), matches[0])
+        F.when(wrong.isNotNull(), None)
+        .when(explicit, F.when(F.array_contains("dirs", clean), clean))
+        .when(F.size("dirs") == 1, F.get("dirs", F.lit(0)))
+        .when(F.size("dirs") == 0, "")
+        .otherwise(F.get(matches, F.lit(0)))
     )
-    error = F.when(outside, F.lit("root is outside the repository")).when(explicit & found.isNull(), F.lit("root was not detected")).when(found.isNull(), F.lit("build root is ambiguous"))
+    error = F.coalesce(wrong, F.when(explicit & found.isNull(), F.lit("root was not detected")), F.when(found.isNull(), F.lit("build root is ambiguous")))
     # one row of few directories, so this is no pairing of rows
     return artifacts.join(F.broadcast(dirs)).withColumn("build_root", found).withColumn("error", error).drop("dirs")
 
 
-def located(reports: DataFrame, files: DataFrame) -> DataFrame:
+def located(reports: DataFrame, files: DataFrame, repository: str = "") -> DataFrame:
     """Report rows (with build_root) with paths as the repository has them: below the root where such a file exists.
 
-    Paths lose leading slashes and a leading ``./``; one that climbs out of the repository keeps its name.
+    Blanks around a path are dropped and its ``.`` and ``..`` parts resolved. An absolute path below ``repository``, the
+    place where the report was made, becomes relative to it; other absolute ones lose their leading slashes. A path
+    that still leads out of the repository keeps its name only. NULL paths stay NULL.
     """
-    plain = F.regexp_replace(slashed(F.col("path")), r"^(?:/|\./)+", "")
-    safe = F.when(plain.rlike(r"(^|/)\.\.(/|$)"), basename(plain)).otherwise(plain)
-    below = F.when(F.col("build_root") != "", F.concat("build_root", F.lit("/"), safe)).otherwise(safe)
+    plain = cleaned(blank_trim(slashed(F.col("path"))))
+    inside = relative_path(repository, plain) if repository else F.lit("")
+    own = (plain.startswith("/")) & ~inside.isin("", ".")
+    bare = F.when(plain.startswith("/"), F.ltrim(plain, F.lit("/"))).otherwise(plain)
+    outside = bare.rlike(r"^\.\.(/|$)")
+    safe = F.when(own, inside).when(outside, basename(bare)).otherwise(bare)
+    below = F.when((F.col("build_root") != "") & ~own & ~outside, F.concat("build_root", F.lit("/"), safe)).otherwise(safe)
     known = files.select(F.regexp_replace("path", "^/+", "").alias("_known")).distinct()
-    rows = reports.withColumn("_below", below)
-    return rows.join(known, F.col("_below") == F.col("_known"), "left").withColumn("path", F.coalesce("_known", safe)).drop("_below", "_known")
+    rows = reports.withColumn("_safe", safe).withColumn("_below", below)
+    return rows.join(known, F.col("_below") == F.col("_known"), "left").withColumn("path", F.coalesce("_known", "_safe")).drop("_safe", "_below", "_known")
 
 
 def merged_reports(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several reports (report_no) on one path the last holds; within the report the last by its totals."""
-    rest = [c for c in reports.columns if c not in (*keys, "path", "report_no")]
-    picked = reports.groupBy(*keys, "path").agg(F.max(F.struct("report_no", *rest)).alias("_x"))
+    """Reports (report_no, their order) of each combination of keys as one.
+
+    A lone report stays as it is, with paths that it names twice. Of several the last report that has a path holds for it, and
+    within that report the last row by ``position``, if there is such a column, else by its values.
+    """
+    order = ["report_no", *[c for c in ("position",) if c in reports.columns]]
+    rest = [c for c in reports.columns if c not in (*keys, *order, "path")]
+    lone = (F.min("report_no").eqNullSafe(F.max("report_no"))).alias("_lone")
+    if keys:
+        counted = reports.groupBy(*keys).agg(lone).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lone")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        marked = reports.join(counted, same)
+    else:
+        marked = reports.join(F.broadcast(reports.agg(lone)))  # one row of one flag
+    own = F.when(F.col("_lone"), F.monotonically_increasing_id()).alias("_own")  # keeps the rows of a lone report apart
+    picked = marked.groupBy(*keys, "path", own).agg(F.max(F.struct(*order, *rest)).alias("_x"))
     return picked.select(*keys, "path", *[F.col(f"_x.{c}").alias(c) for c in rest])
 
 

@@ -92,6 +92,8 @@ def build_roots(files: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for i, m in enumerate(MANIFESTS) for x in (m[0], i)])[F.col("name")]
     project = _suffix(F.col("name")).isin(".sln", ".csproj")
     has = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    telling = F.array_sort(F.collect_set(F.when(F.col("name").isin(*METADATA) & F.col("content").isNotNull(), F.struct("name", "content"))))
+    once = F.filter(telling, lambda x, i: (i == 0) | (x["name"] != F.get(telling, i - 1)["name"]))  # a file may be delivered twice
     dirs = near.groupBy("repo", "dir").agg(
         F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("name").alias("name")))).alias("first"),
         F.min(F.when(project, F.col("name"))).alias("project"),
@@ -99,7 +101,7 @@ def build_roots(files: DataFrame) -> DataFrame:
         has(_suffix(F.col("name")).isin(*CPP_SOURCES)).alias("cpp"),
         has(F.col("name") == "yarn.lock").alias("yarn"),
         has(F.col("name") == "pnpm-lock.yaml").alias("pnpm"),
-        F.map_from_entries(F.collect_list(F.when(F.col("name").isin(*METADATA) & F.col("content").isNotNull(), F.struct("name", "content")))).alias("meta"),
+        F.map_from_entries(once).alias("meta"),
         F.min(F.when(_suffix(F.col("name")) == ".csproj", F.struct("name", "content"))).alias("csproj"),
     )
     manifest = F.coalesce(F.col("first.name"), F.when(F.col("makefile") & F.col("cpp"), F.lit("Makefile")), F.col("project"))

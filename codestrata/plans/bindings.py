@@ -52,12 +52,11 @@ def view(prefix: str, **subqueries: str) -> str:
 NODE_TYPES = ["Branch", "Loop", "Closure", "Operator", "Nesting", "Branch", "Operator"]
 
 
-def functions_and_nodes(spark: SparkSession, sf_dir: str, where: str = "l_quantity > 25") -> tuple[DataFrame, DataFrame]:
+def functions_and_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     functions = read(spark, sf_dir, "part").select("p_partkey")
     kinds = F.element_at(F.array(*[F.lit(t) for t in NODE_TYPES]), F.col("l_linenumber"))
-    nodes = read(spark, sf_dir, "lineitem").where(where).select(F.col("l_partkey").alias("p_partkey"), kinds.alias("node_type"), (F.floor("l_quantity") % 8).cast("int").alias("depth"))
+    nodes = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), kinds.alias("node_type"), (F.floor("l_quantity") % 8).cast("int").alias("depth"))
     return functions, nodes
 
 
-NODES_SQL = "(select l_partkey p_partkey, [" + ", ".join(f"'{t}'" for t in NODE_TYPES) + "][l_linenumber] node_type, cast(floor(l_quantity) as integer) % 8 depth from lineitem where l_quantity > 25)"
-ALL_NODES_SQL = "(select l_partkey p_partkey, [" + ", ".join(f"'{t}'" for t in NODE_TYPES) + "][l_linenumber] node_type, cast(floor(l_quantity) as integer) % 8 depth from lineitem)"
+NODES_SQL = "(select l_partkey p_partkey, [" + ", ".join(f"'{t}'" for t in NODE_TYPES) + "][l_linenumber] node_type, cast(floor(l_quantity) as integer) % 8 depth from lineitem)"

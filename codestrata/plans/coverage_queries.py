@@ -121,12 +121,17 @@ def cov_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("repo", F.round("line_pct", 6).alias("line_pct"), F.round("branch_pct", 6).alias("branch_pct"))
 
 
-@registry.add("cov_09_located", "select distinct file_path as given, regexp_replace(replace(file_path, '\\', '/'), '^/+', '') as path from issue_snapshots where file_path is not null")
+_BARE = "regexp_replace(replace(file_path, '\\', '/'), '^/+', '')"
+
+
+@registry.add("cov_09_located", f"select distinct file_path as given, case length(file_path) % 5 when 2 then regexp_extract({_BARE}, '[^/]*$') else {_BARE} end as path from issue_snapshots where file_path is not null")
 def cov_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of reports in the repository's form."""
+    """Paths of reports in the repository's form: absolute below it, with parts that lead up and down, out of it, with a dot, and plain."""
     paths = read(spark, sf_dir, "issue_snapshots").where("file_path is not null").select(F.col("file_path").alias("given")).distinct()
-    reports = paths.withColumns({"path": F.col("given"), "build_root": F.lit("")})
-    return coverage.located(reports, paths.select(text.canonical_path("given").alias("path"))).select("given", "path")
+    bare, way = F.ltrim(text.slashed(F.col("given")), F.lit("/")), F.length("given") % 5
+    told = F.when(way == 0, F.concat(F.lit("/repo/x/../"), bare)).when(way == 1, F.concat(F.lit("src/x/../../"), bare)).when(way == 2, F.concat(F.lit("a/../../../"), bare)).when(way == 3, F.concat(F.lit(" ./"), bare, F.lit(" "))).otherwise(F.col("given"))
+    reports = paths.withColumns({"path": told, "build_root": F.lit("")})
+    return coverage.located(reports, paths.select(text.canonical_path("given").alias("path")), "/repo").select("given", "path")
 
 
 @registry.add("cov_10_merged", f"select path, arg_max(t, repo) as lines_total, arg_max(c, repo) as lines_covered from {_F} group by 1")
@@ -136,6 +141,13 @@ def cov_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.merged_reports(reports, [])
 
 
+@registry.add("cov_10_repeated_paths", f"select repo, dir as path, t as lines_total from (select *, '/' || split_part(path, '/', 2) as dir, count(distinct length(path) % 2) over (partition by repo) as reports from {_F}) qualify reports = 1 or row_number() over (partition by repo, dir order by length(path) % 2 desc, path desc) = 1")
+def cov_10_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that name a directory often: a lone one of a repository stays as it is, of two the last row of the later one holds."""
+    rows = files(spark, sf_dir).select("repo", (F.length("path") % 2).alias("report_no"), F.col("path").alias("position"), F.concat(F.lit("/"), F.element_at(F.split("path", "/"), 2)).alias("path"), F.col("lines_total").cast("long").alias("lines_total"))
+    return coverage.merged_reports(rows, ["repo"])
+
+
 @registry.add("cov_11_precedence", "select 'supplied' as source, count(*) as artifacts from (select distinct repository_id, file_path from complexity_metrics where repository_id is not null and file_path is not null and start_line is not null and cyclomatic_complexity is not null)")
 def cov_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repositories hold no artifact, so those supplied are used and nothing is executed."""
@@ -170,13 +182,16 @@ def cov_15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@registry.add("src_15_artifact_roots", "select id, case when name is null then 'build root is ambiguous' when length(name) % 2 = 0 then null else 'root was not detected' end as error from user_repositories")
+_ROOTS = ("./b/", "c", "../b", "/b", ".app", " b\\x\\.. ", "a/../..x", "a/../..")
+
+
+@registry.add("src_15_artifact_roots", "select id, case when name is null then 'build root is ambiguous' else [null, 'root was not detected', 'root is outside the repository', 'root is not relative to the repository', null, null, 'root was not detected', 'root is outside the repository'][1 + length(name) % 8] end as error, case when name is not null then ['b', null, null, null, '.app', 'b', null, null][1 + length(name) % 8] end as build_root from user_repositories")
 def src_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artifacts of two detected roots: a root is named for every other one, and not at all without a name."""
-    roots = spark.createDataFrame([("a",), ("b",)], "dir string")
-    root = F.when(F.col("name").isNull(), "").when(F.length("name") % 2 == 0, "./b/").otherwise("c")
+    """Artifacts of three detected roots: roots of all kinds are named, and none where the name is unknown."""
+    roots = spark.createDataFrame([("a",), ("b",), (".app",)], "dir string")
+    root = F.when(F.col("name").isNull(), "").otherwise(F.element_at(F.array(*[F.lit(r) for r in _ROOTS]), 1 + F.length("name") % len(_ROOTS)))
     rows = read(spark, sf_dir, "user_repositories").select("id", F.lit("lcov.info").alias("name2"), root.alias("root")).withColumnRenamed("name2", "name")
-    return coverage.with_root(rows, roots).select("id", "error")
+    return coverage.with_root(rows, roots).select("id", "error", "build_root")
 
 
 @registry.add("src_19_coverage_commands", "select id, case lower(primary_language) when 'go' then 'go test -coverprofile=coverage.out -covermode=atomic -timeout=90s -p=4 ./...' when 'python' then 'python3 -m pytest --cov=. --cov-report=xml:coverage.xml -q --tb=no --no-header' when 'rust' then 'cargo llvm-cov --lcov --output-path lcov.info' when 'php' then 'phpunit --coverage-clover clover.xml' when 'ruby' then 'bundle exec rspec' when 'java' then 'mvn test jacoco:report' when 'kotlin' then 'mvn test jacoco:report' when 'javascript' then 'jest --coverage --coverageReporters=lcov --coverageDirectory=coverage --passWithNoTests --forceExit' when 'typescript' then 'jest --coverage --coverageReporters=lcov --coverageDirectory=coverage --passWithNoTests --forceExit' else '' end as command from user_repositories")

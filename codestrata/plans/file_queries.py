@@ -59,23 +59,15 @@ def src_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.rejected_artifacts(rows.select(F.col("file_path").alias("name"), F.lit("").alias("content")))
 
 
-@registry.add("src_16_metadata", "select file_path as path, ends_with(file_path, '.java') and octet_length(encode(text)) <= 1048576 as has_content from documents where file_path is not null and text is not null and regexp_replace(file_path, '^.*/', '') not in ('main.go', 'build.rs', 'go.mod', 'pom.xml')")
-def src_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which files structure detection reads: small ones whose names may tell something."""
-    rows = read(spark, sf_dir, "documents").where("file_path is not null and text is not null and regexp_replace(file_path, '^.*/', '') not in ('main.go', 'build.rs', 'go.mod', 'pom.xml')")
-    files = rows.select(F.col("file_path").alias("path"), F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
-    return trees.metadata(files).select("path", F.col("content").isNotNull().alias("has_content"))
-
-
 _TELLING = (*structure.METADATA, "main.go", "build.rs", "build.zig.zon")
 
 
 @registry.add(
-    "src_16_metadata_all",
+    "src_16_metadata",
     "select file_path as path, coalesce((name in (" + ", ".join(f"'{n}'" for n in _TELLING) + ") or ends_with(name, '.java') or ends_with(name, '.csproj')) and octet_length(encode(text)) <= 1048576, false) as has_content from (select file_path, text, string_split(file_path, '/')[-1] as name from documents where file_path is not null)",
 )
-def src_16_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every document that has a path, whatever its name, without a text too."""
+def src_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files structure detection reads: small ones whose names may tell something."""
     rows = read(spark, sf_dir, "documents").where("file_path is not null")
     files = rows.select(F.col("file_path").alias("path"), F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
     return trees.metadata(files).select("path", F.col("content").isNotNull().alias("has_content"))
@@ -112,8 +104,8 @@ def flt_11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("fn_04_relative_path", "select distinct file_path, case when starts_with(file_path, '/internal/') then substr(file_path, 11) else '' end as relative from complexity_metrics where file_path is not null")
 def fn_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths below /internal, empty for others."""
-    relative = F.pandas_udf(lambda s: s.map(lambda p: relative_path("/internal", p)), "string")
-    return read(spark, sf_dir, "complexity_metrics").where("file_path is not null").select("file_path").distinct().select("file_path", relative("file_path").alias("relative"))
+    paths = read(spark, sf_dir, "complexity_metrics").where("file_path is not null").select("file_path").distinct()
+    return paths.select("file_path", relative_path("/internal", F.col("file_path")).alias("relative"))
 
 
 _RUN = ("started_at", "completed_at", "status", "duration_seconds", "total_issues_found", "critical_issues_count", "high_issues_count", "medium_issues_count", "low_issues_count")

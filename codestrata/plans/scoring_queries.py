@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import scoring, text
 from codestrata.operators import policy
-from codestrata.plans.bindings import ALL_NODES_SQL, NODES_SQL, folded_sql, functions_and_nodes, held, held_sql, view
+from codestrata.plans.bindings import NODES_SQL, folded_sql, functions_and_nodes, held, held_sql, view
 from codestrata.plans.registry import Registry
 from codestrata.tables import folded, read
 
@@ -50,25 +50,11 @@ SEVERITY_GO_SQL = "case when c > 20 or n > 7 or g > 25 then 'critical' when c >
     ),
 )
 def cx_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of orders as nodes of the parts."""
     functions, nodes = functions_and_nodes(spark, sf_dir)
     return scoring.reduce_nodes(functions, nodes, ["p_partkey"])
 
 
-@registry.add(
-    "cx_01_complexity_reduction_all",
-    view(
-        """select p_partkey, cast(1 + count(*) filter (node_type in ('Branch','Loop','Closure','Operator')) as integer) as cyclomatic,
-  cast(coalesce(sum(case when node_type in ('Branch','Loop','Closure') then 1 + depth when node_type = 'Operator' then 1 else 0 end), 0) as integer) as cognitive,
-  cast(coalesce(max(depth), 0) as integer) as nesting from part left join n using (p_partkey) group by 1""",
-        n=ALL_NODES_SQL,
-    ),
-)
-def cx_01_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all lines of orders."""
-    functions, nodes = functions_and_nodes(spark, sf_dir, "true")
-    return scoring.reduce_nodes(functions, nodes, ["p_partkey"])
-
-
 @registry.add("cx_02_severity", _scored(f"select id, {SEVERITY_SQL} as severity from m"))
 def cx_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     cyc, cog, nest, _, _ = _measures()
@@ -161,24 +147,6 @@ def cx_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, "function_name").select("id", scoring.finding_message(name, F.col("cyclomatic_complexity"), F.col("nesting_depth")).alias("message"))
 
 
-@registry.add(
-    "cx_13_description",
-    view(
-        """select id, 'Function: ' || f || chr(10) || 'Cyclomatic Complexity: ' || c || chr(10) || case when g0 is null then '' else 'Cognitive Complexity: ' || g0 || chr(10) end
-  || 'Nesting Depth: ' || n || chr(10) || 'Parameters: ' || p || chr(10) || 'Lines of Code: ' || l || chr(10) || 'Estimated Refactoring Time: ' || d || ' minutes'
-  || case when n > 5 then chr(10) || chr(10) || 'Refactoring Suggestions:' || chr(10) || '- [HIGH] Reduce Nesting Depth: Use early returns, guard clauses, or extract nested logic into separate functions' else '' end as description from m""",
-        h=_metrics_sql("function_name", "technical_debt_minutes"),
-        m=f"({_SHORT}, coalesce(function_name, '<anonymous>') f, cognitive_complexity g0, coalesce(technical_debt_minutes, 0) d from h)",
-    ),
-)
-def cx_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zero = F.lit(0)
-    cyc, cog, nest, par, loc = _measures()
-    name = F.coalesce("function_name", F.lit("<anonymous>"))
-    advice = scoring.suggestions_go(zero, zero, nest, zero, zero)
-    return _metrics(spark, sf_dir, "function_name", "technical_debt_minutes").select("id", scoring.finding_description(name, cyc, cog, nest, par, loc, F.col("technical_debt_minutes"), advice).alias("description"))
-
-
 def _advice_sql() -> str:
     """The suggestions for Go that apply, a line each; of the two on cyclomatic complexity only the stronger."""
     short = {"cyclomatic": "c", "nesting": "n", "params": "p", "loc": "l", "cognitive": "g"}
@@ -187,7 +155,7 @@ def _advice_sql() -> str:
 
 
 @registry.add(
-    "cx_13_description_all",
+    "cx_13_description",
     view(
         """select id, 'Function: ' || f || chr(10) || 'Cyclomatic Complexity: ' || c || chr(10) || case when g0 is null then '' else 'Cognitive Complexity: ' || g0 || chr(10) end
   || 'Nesting Depth: ' || n || chr(10) || 'Parameters: ' || p || chr(10) || 'Lines of Code: ' || l || chr(10) || 'Estimated Refactoring Time: ' || d || ' minutes'
@@ -197,7 +165,7 @@ def _advice_sql() -> str:
         a=f"(select *, {_advice_sql()} a from m)",
     ),
 )
-def cx_13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cx_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions with the suggestions for all five measures."""
     cyc, cog, nest, par, loc = _measures()
     name = F.coalesce("function_name", F.lit("<anonymous>"))

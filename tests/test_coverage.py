@@ -79,6 +79,37 @@ def test_roots_and_merging(spark):
     assert rows(coverage.merged_reports(twice, [])) == [("a", 7), ("b", 1)]
 
 
+def test_paths_are_resolved_before_they_are_judged(spark):
+    files = spark.createDataFrame([("/src/y.go",), ("/app/z.go",), ("/z.go",)], "path string")
+    cases = [
+        ("", "src/x/../y.go", "src/y.go"), ("", "/repo/src/y.go", "src/y.go"), ("app", "/repo/src/y.go", "src/y.go"), ("app", "/other/z.go", "other/z.go"), ("app", "z.go", "app/z.go"),
+        ("app", "../../z.go", "z.go"), ("", "a/../../b/q.go", "q.go"), ("", " ./src//y.go ", "src/y.go"), ("app", "nowhere.go", "nowhere.go"), ("", "/repository/q.go", "repository/q.go"), ("", None, None),
+    ]
+    df = spark.createDataFrame([(i, root, path) for i, (root, path, _) in enumerate(cases)], "id int, build_root string, path string")
+    assert [r["path"] for r in coverage.located(df, files, "/repo").orderBy("id").collect()] == [w for *_, w in cases]
+
+
+@pytest.mark.parametrize(("root", "found", "error"), [(".app", ".app", None), ("..x", "..x", None), ("a\\b\\..", "a", None), (" ./a/ ", "a", None), (".", "", None), ("/a", None, "root is not relative to the repository"), ("C:\\a", None, "root is not relative to the repository"), ("a/../..", None, "root is outside the repository"), ("  ", None, "root is empty"), ("b", None, "root was not detected")])
+def test_named_roots(spark, root, found, error):
+    roots = spark.createDataFrame([("",), ("a",), (".app",), ("..x",)], "dir string")
+    made = coverage.with_root(artifacts(spark, ("1", "lcov.info", root, "")), roots).first()
+    assert (made["build_root"], made["error"]) == (found, error)
+
+
+def test_roots_by_name(spark):
+    roots = spark.createDataFrame([("a/b",), ("a",), ("",)], "dir string")
+    made = coverage.with_root(artifacts(spark, ("1", "x/../a/b/lcov.info", None, ""), ("2", "lcov.info", "", ""), ("3", None, None, "")), roots)
+    assert rows(made, "artifact", "build_root") == [("1", "a"), ("2", None), ("3", None)]
+    assert rows(coverage.with_root(artifacts(spark, ("2", "lcov.info", "", "")), roots.where("false")), "build_root") == [("",)]
+
+
+def test_lone_reports_keep_what_they_repeat(spark):
+    df = spark.createDataFrame([("r", 1, "a", 5, 1), ("r", 1, "a", 5, 1), ("r", 1, "b", 2, 2), ("s", 1, "a", 9, 2), ("s", 2, "a", 1, 1), ("s", 2, "a", 0, 3), ("s", 1, "c", 4, 4), (None, None, "z", 1, 1)], "repo string, report_no int, path string, lines_total int, position int")
+    assert rows(coverage.merged_reports(df, ["repo"])) == sorted([("r", "a", 5), ("r", "a", 5), ("r", "b", 2), ("s", "a", 0), ("s", "c", 4), (None, "z", 1)], key=repr)
+    assert rows(coverage.merged_reports(df.where("repo = 'r'").drop("repo"), [])) == [("a", 5), ("a", 5), ("b", 2)]
+    assert rows(coverage.merged_reports(df.where("false"), ["repo"])) == []
+
+
 def test_rejected(spark):
     df = artifacts(spark, ("1", "lcov.info", None, "x" * (coverage.MAX_ARTIFACT_BYTES + 1)), ("2", "odd.txt", None, ""), ("3", "lcov.info", None, ""))
     assert [r["message"].split(": ")[1].split()[0] for r in coverage.warnings(coverage.rejected_artifacts(df)).collect()] == ["exceeds", "has"]

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codestrata import scan
-from codestrata.functions.text import clean_path, relative_path
+from codestrata.functions.text import canonical_path, cleaned, relative_path
 from codestrata.operators import policy, structure
 from codestrata.runner import Cancelled, Result, run
 from codestrata.session import materialize, release, shared_dir, spread
@@ -66,9 +66,17 @@ def test_scope():
             policy.normalize_targets("/r", [bad])
 
 
-def test_paths():
-    assert [clean_path(p) for p in ("a\\b", "/a/../b/./c", "//x//y", "../..", None)] == ["/a/b", "/b/c", "/x/y", "/", None]
-    assert [relative_path("/r", p) for p in ("/r/a/b", "/r", "/other", "/rx/a")] == ["a/b", ".", "", ""]
+def test_paths(spark):
+    df = spark.createDataFrame([(p,) for p in ("a\\b", "/a/../b/./c", "//x//y", "../..", None, "", "/r/a/b", "/r", "/rx/a", "r/../..", "a/..", "x/", "..x/y")], "p string")
+    assert [r[0] for r in df.select(canonical_path("p")).collect()] == ["/a/b", "/b/c", "/x/y", "/", None, "/", "/r/a/b", "/r", "/rx/a", "/", "/", "/x", "/..x/y"]
+    assert [r[0] for r in df.select(cleaned(F.col("p"))).collect()] == ["a\\b", "/b/c", "/x/y", "../..", None, ".", "/r/a/b", "/r", "/rx/a", "..", ".", "x", "..x/y"]
+    assert [r[0] for r in df.select(relative_path("/r", F.col("p"))).collect()][6:9] == ["a/b", ".", ""]
+
+
+def test_files_delivered_twice(spark):
+    data = [("r", "/package.json", "{}"), ("r", "/package.json", "{}"), ("r", "/.nvmrc", "20"), ("r", "/.nvmrc", "18")]
+    assert rows(structure.build_roots(spark.createDataFrame(data, FILES)), "tool", "image") == [("npm", "node:18-alpine")]
+
 
 
 def test_git_text(spark):

@@ -44,7 +44,7 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_descriptions_join_suggestions(spark):
-    texts = [r["description"] for r in QUERIES["cx_13_description_all"](spark, FOLDER).collect()]
+    texts = [r["description"] for r in QUERIES["cx_13_description"](spark, FOLDER).collect()]
     titles = ("Extract Method", "Simplify Control Flow", "Reduce Nesting Depth", "Introduce Parameter Object", "Split Large Function", "Reduce Cognitive Complexity")
     assert max(t.count("\n- [") for t in texts) > 1
     assert sum(any(f"] {title}: " in t for t in texts) for title in titles) > 1
