@@ -9,6 +9,7 @@ from codestrata.functions import scoring
 from codestrata.functions.text import fingerprint, newline_count
 from codestrata.operators import policy
 from codestrata.parse.registry import parse_files
+from codestrata.session import materialize
 
 ANALYZER = "complexity"
 TOOL = "complexity_analyzer"
@@ -83,9 +84,11 @@ def report_order() -> list[Column]:
 def analyze(files: DataFrame, **options: object) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metrics, findings and warnings of files (path, content).
 
-    Files that no analyzer reads are left out; the parsed functions feed all three results.
+    Files that no analyzer reads are left out. Texts are parsed once: what the parsers give is written to the
+    shared folder, and all three results are read from there.
     """
     parsed = parse_files(policy.with_language(files, "path"))
+    parsed = files.sparkSession.read.schema(parsed.schema).parquet(materialize(parsed, "parsed"))
     measured = metrics(parsed, **options)
     failed = parsed.where(F.col("error").isNotNull()).select(F.concat("path", F.lit(" could not be parsed: "), "error").alias("message")).orderBy("message")
     return measured, findings(measured), failed

@@ -58,6 +58,16 @@ ANONYMOUS = {"go": "<anonymous>", "javascript": "<anonymous>", "typescript": "<a
 _NOT_NAMES = frozenset("if for while switch catch return new throw else do try function fn func fun typeof await yield sizeof using lock foreach when match unless guard in of is as case default delegate instanceof import super this static_assert alignof decltype".split())
 
 
+#: What ends an expression to its left, so that it isn't part of a condition that follows.
+_EXPRESSION_STARTS = frozenset(("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ".=", "??=", "&&=", "||=", ":=", ":", ",", ";", "=>", "<-"))
+_STATEMENT_WORDS = frozenset("return throw yield case echo print else in".split())
+
+
+def deepen(out: list[Node], mark: int, branch: Node) -> None:
+    """A conditional expression over the nodes from ``mark`` on, which lie in its condition."""
+    out[mark:] = [branch, *((kind, depth + 1) for kind, depth in out[mark:])]
+
+
 _TYPE_PREFIXES = frozenset("keyof unique readonly infer asserts typeof abstract new".split())
 _BEFORE_ARROW = frozenset(("", "=", "(", ",", "[", "{", "}", ";", ":", "=>", "?", "&&", "||", "??", "&&=", "||=", "??=", "return", "default", "yield", "else", "do", "of", "in"))
 
@@ -211,8 +221,8 @@ class Scanner:
         return end
 
     def walk(self, i: int, end: int, depth: int, out: list[Node]) -> None:
-        """Nodes of the tokens from ``i`` to ``end``."""
-        r = self.rules
+        """Nodes of the tokens from ``i`` to ``end``; those of an expression that turns out to be a condition lie one level deeper."""
+        r, mark = self.rules, len(out)
         while i < end:
             closure = self.closures.get(i)
             if closure is not None and closure.end <= end:
@@ -227,18 +237,35 @@ class Scanner:
             if t.kind == "name":
                 step = self.word(i, end, depth, out)
                 if step is not None:
+                    if t.text not in r.operators:
+                        mark = len(out)
                     i = step
                     continue
+                if t.text in _STATEMENT_WORDS:
+                    mark = len(out)
+            elif t.kind == "newline":
+                if self.language == "swift" and self.at(self.skip_lines(i)) not in (*r.operators, "?", ".", "?."):
+                    mark = len(out)
             elif t.kind == "op":
                 if t.text in ("(", "[", "{"):
                     close = min(end, self.close(i))
                     self.walk(i + 1, close, depth, out)
                     i = close + 1
+                    if (t.text == "{" and self.at(i) not in (*r.operators, "?")) or (t.text == "(" and self.kind(i) in ("name", "number", "string") and self.at(i) not in r.operators):
+                        mark = len(out)  # a block ended, or the head of a statement
                     continue
                 if t.text in r.operators:
                     out.append(("Operator", depth))
+                if t.text in _EXPRESSION_STARTS:
+                    mark = len(out)
+                elif t.text == "?:" and self.language == "php":
+                    deepen(out, mark, ("Branch", depth))
+                    stop = self.expression_end(i + 1, end)
+                    self.walk(i + 1, stop, depth + 1, out)
+                    i = stop
+                    continue
                 elif t.text == "?" and self.is_ternary(i, end):
-                    out.append(("Branch", depth))
+                    deepen(out, mark, ("Branch", depth))
                     stop = self.expression_end(i + 1, end)
                     self.walk(i + 1, stop, depth + 1, out)
                     i = stop

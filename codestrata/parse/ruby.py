@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.parse.braces import Function, Node, cut
+from codestrata.parse.braces import Function, Node, cut, deepen
 from codestrata.parse.tokens import Token, brackets, tokenize
 
 _ALWAYS = {"def", "class", "module", "begin", "case"}
@@ -136,7 +136,8 @@ class Ruby:
             self.value(i, last, inner, out)
 
     def value(self, i: int, end: int, depth: int, out: list[Node]) -> None:
-        """Nodes of the tokens of one statement."""
+        """Nodes of the tokens of one statement; those of an expression that turns out to be a condition lie one level deeper."""
+        mark, outer = len(out), []
         while i < end:
             if i in self.ends:
                 self.construct(i, min(self.ends[i], end), depth, out)
@@ -146,9 +147,16 @@ class Ruby:
             if self.at(i) in _OPERATORS and (t.kind == "op" or self.word(i)):
                 out.append(("Operator", depth))
             elif t.kind == "op" and t.text == "?" and any(self.at(k) == ":" for k in range(i + 1, end)):
-                out.append(("Branch", depth))
+                deepen(out, mark, ("Branch", depth))
                 self.value(i + 1, end, depth + 1, out)
                 return
+            if t.kind == "op" and t.text in ("(", "[", "{"):
+                outer.append(mark)
+                mark = len(out)
+            elif t.kind == "op" and t.text in (")", "]", "}"):
+                mark = outer.pop() if outer else mark
+            elif t.kind == "op" and self.at(i) in ("=", "+=", "-=", "*=", "/=", "||=", "&&=", ",", ":", "=>") or self.at(i) == "return":
+                mark = len(out)
             i += 1
 
     def construct(self, i: int, end: int, depth: int, out: list[Node]) -> None:

@@ -35,7 +35,10 @@ class Lines:
 
 
 def scan(spark: SparkSession, root: str, mode: str = "full", targets: list[str] | None = None, analyzers: list[Analyzer] | None = None, **options: object) -> Report:
-    """Scan a directory: everything, or the files of an incremental scope; ``no_changes`` reads nothing."""
+    """Scan a directory: everything, or the files of an incremental scope; ``no_changes`` reads nothing.
+
+    Each analyzer reads the files it needs; contents are not kept in memory between them.
+    """
     policy.validate_scope(mode, targets)
     if mode == "no_changes":
         return Report(spark.createDataFrame([], FINDING), [], spark.createDataFrame([], WARNING), [])
@@ -44,7 +47,6 @@ def scan(spark: SparkSession, root: str, mode: str = "full", targets: list[str]
     if mode == "incremental":
         wanted = spark.createDataFrame([(p,) for p in policy.normalize_targets(base, targets or [])], "path string")
         judged = policy.in_scope(judged, wanted)
-    judged = judged.persist()
     files = judged.where(F.col("reason").isNull()).select("path", "length", F.decode("content", "UTF-8").alias("content"))
     report = run(spark, files, analyzers if analyzers is not None else [Complexity(), Lines()], **options)
     refused = policy.warnings(judged).select(F.lit("scanner").alias("analyzer_id"), "message", F.lit(0).alias("part"))

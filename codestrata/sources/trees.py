@@ -34,13 +34,33 @@ def _below(root: str) -> Column:
     return F.regexp_replace(F.substring(plain, F.lit(len(base) + 1), F.length(plain)), "^/*", "/")
 
 
+def links(root: str) -> list[str]:
+    """The symbolic links below a local directory, as paths below it; a directory that can't be read is an error."""
+
+    def refuse(error: OSError) -> None:
+        raise error
+
+    found = []
+    for folder, dirs, files in os.walk(root, onerror=refuse):
+        found += [os.path.join(folder, n) for n in (*dirs, *files) if os.path.islink(os.path.join(folder, n))]
+    return sorted("/" + os.path.relpath(p, root).replace(os.sep, "/") for p in found)
+
+
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """All files below a root: path, length, content (bytes), without generated trees.
 
-    The content column is read only where it is used. Links are followed by the file listing, as Spark does.
+    The content column is read only where it is used. In a local tree symbolic links, and what lies behind
+    them, are left out, and a directory that can't be read is an error.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_uri(root))
     files = rows.select(canonical_path(_below(root)).alias("path"), "length", "content")
+    local = root.removeprefix("file://")
+    if "://" not in local and (linked := links(os.path.abspath(local))):
+        away = spark.createDataFrame([(p,) for p in linked], "link string")
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        behind = files.select("path", F.explode(above).alias("link")).join(away, "link", "left_semi").select(F.col("path").alias("_away"))
+        files = files.join(behind, F.col("path") == F.col("_away"), "left_anti")
     return files.where(~policy.is_generated(F.col("path")))
 
 

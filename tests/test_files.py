@@ -79,6 +79,20 @@ def test_files_delivered_twice(spark):
 
 
 
+def test_links_are_left_out(spark, tmp_path):
+    (tmp_path / "r" / "a").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "secret.py").write_text("x")
+    (tmp_path / "r" / "a" / "b.py").write_text("x")
+    (tmp_path / "r" / "link.py").symlink_to(tmp_path / "r" / "a" / "b.py")
+    (tmp_path / "r" / "away").symlink_to(tmp_path / "out")
+    (tmp_path / "r" / "gone").symlink_to(tmp_path / "nothing")
+    assert trees.links(str(tmp_path / "r")) == ["/away", "/gone", "/link.py"]
+    assert rows(trees.tree(spark, str(tmp_path / "r")), "path") == [("/a/b.py",)]
+    with pytest.raises(OSError):
+        trees.links(str(tmp_path / "missing"))
+
+
 def test_git_text(spark):
     lines = spark.createDataFrame([("a.go ",), ("",), ("  ",), ("a.go",), ("b.go",)], "value string")
     assert rows(churn(lines)) == [("a.go", 2), ("b.go", 1)] and changed_files(lines).count() == 3
@@ -191,7 +205,7 @@ def test_metadata_of_all_documents(spark, tmp_path):
     from codestrata.plans.file_queries import registry
 
     spark.createDataFrame([("a/go.mod", "m"), ("main.go", "p"), ("b/A.java", ""), ("c/x.py", "x"), ("d/pom.xml", None)], "file_path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert rows(registry.queries["src_16_metadata_all"](spark, str(tmp_path)), "path", "has_content") == [("a/go.mod", True), ("b/A.java", True), ("c/x.py", False), ("d/pom.xml", False), ("main.go", True)]
+    assert rows(registry.queries["src_16_metadata"](spark, str(tmp_path)), "path", "has_content") == [("a/go.mod", True), ("b/A.java", True), ("c/x.py", False), ("d/pom.xml", False), ("main.go", True)]
 
 
 def test_every_warning_is_kept(spark, tmp_path):

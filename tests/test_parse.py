@@ -123,4 +123,4 @@ def test_whole_tables_of_nodes(spark, tmp_path):
 
     spark.createDataFrame([(1,), (2,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     spark.createDataFrame([(1, 1, 3.0), (1, 4, 26.0)], "l_partkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    assert rows(scored.queries["cx_01_complexity_reduction_all"](spark, str(tmp_path)), "p_partkey", "cyclomatic", "cognitive", "nesting") == [(1, 3, 5, 3), (2, 1, 0, 0)]
+    assert rows(scored.queries["cx_01_complexity_reduction"](spark, str(tmp_path)), "p_partkey", "cyclomatic", "cognitive", "nesting") == [(1, 3, 5, 3), (2, 1, 0, 0)]
