@@ -9,6 +9,7 @@ from codestrata.operators import policy, store
 from codestrata.operators.asof import last_before
 from codestrata.plans.bindings import folded_sql, held, held_sql, ref_sql, view
 from codestrata.plans.registry import Registry
+from codestrata.session import materialize
 from codestrata.tables import folded, read, reference
 
 registry = Registry()
@@ -69,12 +70,12 @@ def scope_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sort_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in report order with their places.
 
-    Rows are range-partitioned by the order; places are counted within partitions and shifted by
-    the sizes of those before, so no task sees all rows.
+    Rows are range-partitioned by the order and written once with their place in the partition; places are then shifted by
+    the sizes of the partitions before, so no task sees all rows and nothing is ordered twice.
     """
     rows = issues(spark, sf_dir, "tool_name", "file_path", "line_number", "message")
     ordered = rows.orderBy("tool_name", "file_path", F.coalesce("line_number", F.lit(0)), "message", "id").select("id")
-    numbered = ordered.withColumn("n", F.monotonically_increasing_id()).withColumn("part", F.shiftright("n", 33)).withColumn("within", F.col("n").bitwiseAND((1 << 33) - 1))
+    numbered = spark.read.parquet(materialize(ordered.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("within")), "report-order"))
     # one row per task is ordered here
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = numbered.groupBy("part").agg(F.count("*").alias("size")).select(F.col("part").alias("p"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))

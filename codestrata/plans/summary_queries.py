@@ -103,13 +103,12 @@ def agg_06(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TREND_COUNTS = ("total_occurrences", "open_count", "resolved_count", "resolved_last_30_days")
 
 
-@registry.add("agg_07_trend_read", view("select k.repository_id, k.issue_type, " + ", ".join(f"coalesce(t.{c}, 0) as {c}" for c in _TREND_COUNTS) + f" from (select r.id repository_id, x.issue_type from user_repositories r, (select distinct issue_type from i where issue_type is not null) x) k left join (select * from {_TRENDS_SQL} where is_rollup) t on k.repository_id = t.repository_id and k.issue_type = t.issue_type", i=I_SQL))
+@registry.add("agg_07_trend_read", view("select k.repository_id, k.issue_type, " + ", ".join(f"coalesce(t.{c}, 0) as {c}" for c in _TREND_COUNTS) + f" from (select distinct repository_id, issue_type from issue_snapshots where repository_id is not null and issue_type is not null union select id, 'none' from user_repositories) k left join (select * from {_TRENDS_SQL} where is_rollup) t on k.repository_id = t.repository_id and k.issue_type = t.issue_type", i=I_SQL))
 def agg_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trend of every repository and type of issue, zeros where there is none."""
+    """The trend of every type of issue that a repository was delivered with, and of one that no repository has; zeros where there is none."""
     rolled = trends(spark, sf_dir).where("is_rollup").withColumn("last_calculated_at", F.lit("2025-04-01 00:00:00").cast("timestamp"))
-    kinds = read(spark, sf_dir, "technical_debt_issues").where("issue_type is not null").agg(F.collect_set("issue_type").alias("kinds"))
-    # one row with the few types of issue, so this is no pairing of rows
-    keys = read(spark, sf_dir, "user_repositories").select(F.col("id").alias("repository_id")).join(F.broadcast(kinds)).select("repository_id", F.explode("kinds").alias("issue_type")).withColumn("file_path", F.lit(None).cast("string"))
+    known = read(spark, sf_dir, "issue_snapshots").where("repository_id is not null and issue_type is not null").select("repository_id", "issue_type")
+    keys = known.unionByName(read(spark, sf_dir, "user_repositories").select(F.col("id").alias("repository_id"), F.lit("none").alias("issue_type"))).withColumn("file_path", F.lit(None).cast("string"))
     return store.trend_of(rolled, keys).select("repository_id", "issue_type", *_TREND_COUNTS)
 
 

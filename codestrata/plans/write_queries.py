@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import sinks, writes
-from codestrata.plans.bindings import folded_sql, held, held_sql, view
+from codestrata.operators import entities, sinks, writes
+from codestrata.plans.bindings import folded_sql, held, held_sql, ref_sql, view
 from codestrata.plans.registry import Registry
-from codestrata.tables import folded, read
+from codestrata.tables import folded, read, reference
 
 registry = Registry()
 
@@ -154,17 +154,137 @@ def wrt_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.soft_deleted(comments, ids, now()).select("id", F.col("deleted_at").isNotNull().alias("deleted"))
 
 
-@registry.add("wrt_11_last_sync", "select user_config_id as id, max(epoch_us(completed_at)) as last_sync_us, count(*) as runs from analysis_runs where user_config_id is not null group by 1")
+# Sessions and configurations: one session for each user, which runs 31 days from the last login, and a configuration for each repository.
+_SESSIONS = "(select 's-' || id as id, id as user_id, sha256(id) as session_token, last_login_at as created_at, last_login_at + interval 31 day as expires_at, updated_at as last_activity_at, is_active from users)"
+_CONFIGS = "(select id, user_id, organization_id, full_name as organization_name, platform_type, primary_language as settings, last_commit_date as last_sync_at, cast(null as timestamptz) as next_sync_at, is_private as is_connected, case when is_fork then created_at end as connected_at, created_at, updated_at from user_repositories)"
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "users").select(
+        F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("user_id"), F.sha2("id", 256).alias("session_token"), F.col("last_login_at").alias("created_at"),
+        (F.col("last_login_at") + F.expr("interval 31 days")).alias("expires_at"), F.col("updated_at").alias("last_activity_at"), "is_active",
+    )
+
+
+def configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "user_repositories").select(
+        "id", "user_id", "organization_id", F.col("full_name").alias("organization_name"), "platform_type", F.col("primary_language").alias("settings"), F.col("last_commit_date").alias("last_sync_at"),
+        F.lit(None).cast("timestamp").alias("next_sync_at"), F.col("is_private").alias("is_connected"), F.when(F.col("is_fork"), F.col("created_at")).alias("connected_at"), "created_at", "updated_at",
+    )
+
+
+@registry.add("wrt_11_last_sync", view(f"select c.id, coalesce(r.at, epoch_us(c.last_sync_at)) as last_sync_us, r.at + 3600000000 as next_sync_us, case when r.id is not null then {NOW_US} else epoch_us(c.updated_at) end as updated_us from c left join (select repository_id id, max(epoch_us(completed_at)) as at from analysis_runs where completed_at is not null group by 1) r on c.id = r.id", c=_CONFIGS))
 def wrt_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last synchronisation that would be written to each configuration."""
-    return read(spark, sf_dir, "analysis_runs").where("user_config_id is not null").groupBy(F.col("user_config_id").alias("id")).agg(F.max(F.unix_micros("completed_at")).alias("last_sync_us"), F.count("*").alias("runs"))
+    """Each configuration with the end of its last run as the last synchronisation, the next one an hour later."""
+    last = read(spark, sf_dir, "analysis_runs").where("completed_at is not null").groupBy(F.col("repository_id").alias("id")).agg(F.max("completed_at").alias("last_sync_at")).withColumn("next_sync_at", F.col("last_sync_at") + F.expr("interval 1 hour"))
+    made = entities.synchronised(configurations(spark, sf_dir), last, now())
+    return made.select("id", F.unix_micros("last_sync_at").alias("last_sync_us"), F.unix_micros("next_sync_at").alias("next_sync_us"), F.unix_micros("updated_at").alias("updated_us"))
+
+
+@registry.add("wrt_11_connected", view(f"select id, is_connected or platform_type = 'github' as is_connected, coalesce(epoch_us(connected_at), case when platform_type = 'github' then {NOW_US} end) as connected_us from c", c=_CONFIGS))
+def wrt_11_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations after those of one platform are connected."""
+    rows = configurations(spark, sf_dir)
+    return entities.connected(rows, rows.where("platform_type = 'github'"), now()).select("id", "is_connected", F.unix_micros("connected_at").alias("connected_us"))
+
+
+@registry.add("wrt_11_updated", view("select id, coalesce(settings, '') as settings, '' as error from (select id, case when platform_type = 'gitlab' then 'strict' else settings end as settings from c) union all select distinct user_config_id, '', 'not found' from analysis_runs where user_config_id is not null and user_config_id not in (select id from c)", c=_CONFIGS))
+def wrt_11_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations of one platform with other settings; those that runs name and nobody keeps are told as errors."""
+    rows = configurations(spark, sf_dir)
+    wanted = rows.where("platform_type = 'gitlab'").select("id").unionByName(read(spark, sf_dir, "analysis_runs").where("user_config_id is not null").select(F.col("user_config_id").alias("id")))
+    made, missing = entities.updated(rows, wanted.withColumn("settings", F.lit("strict")), now())
+    return made.select("id", F.coalesce("settings", F.lit("")).alias("settings"), F.lit("").alias("error")).unionByName(missing.select("id", F.lit("").alias("settings"), "error"))
+
+
+@registry.add("wrt_11_created_and_removed", view("select id from c where not is_private_ union all select 'new-' || id from c where is_private_", c=_CONFIGS.replace("is_private as is_connected", "is_private as is_connected, coalesce(is_private, false) as is_private_")))
+def wrt_11_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected configurations are removed and others created in their place."""
+    rows = configurations(spark, sf_dir)
+    gone = rows.where("is_connected").select("id")
+    kept, _ = entities.removed(rows, gone)
+    return entities.created(kept, gone.select(F.concat(F.lit("new-"), "id").alias("id")), now(), is_connected=F.lit(False)).select("id")
+
+
+@registry.add("flt_14_by_provider", view("select k.organization_id, k.platform_type, min(c.id) as id from (select distinct organization_id, p.platform_type from c, (values ('github'), ('gitlab'), ('other')) p(platform_type) where organization_id is not null) k left join c on k.organization_id = c.organization_id and k.platform_type = c.platform_type group by 1, 2", c=_CONFIGS))
+def flt_14_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration of each organization for each of three platforms; none is no error."""
+    rows = configurations(spark, sf_dir)
+    keys = rows.where("organization_id is not null").select("organization_id", F.explode(F.array(*[F.lit(p) for p in ("github", "gitlab", "other")])).alias("platform_type"))
+    return entities.by_provider(rows, keys).select("organization_id", "platform_type", "id")
+
+
+@registry.add("flt_14_by_token", view("select k.session_token, s.user_id, case when s.id is null then 'session not found' end as error from (select session_token from s union select sha256('none-' || user_id) from s) k left join (select * from s where is_active) s on k.session_token = s.session_token", s=_SESSIONS))
+def flt_14_by_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by their tokens; unknown tokens and those of inactive sessions are errors."""
+    rows = sessions(spark, sf_dir)
+    tokens = rows.select("session_token").unionByName(rows.select(F.sha2(F.concat(F.lit("none-"), "user_id"), 256).alias("session_token")))
+    return entities.by_token(rows, tokens).select("session_token", "user_id", "error")
+
+
+@registry.add("flt_14_required", view(f"select run as id, r.status, case when r.id is null then 'run not found' end as error from (select distinct {ref_sql('analysis_run_id')} run from technical_debt_issues) k left join r on k.run = r.id where run is not null", r=held_sql("analysis_runs", "status")))
+def flt_14_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of each issue; one that is missing is an error."""
+    keys = read(spark, sf_dir, "technical_debt_issues").select(reference("analysis_run_id").alias("id")).where("id is not null")
+    return entities.looked_up(held(spark, sf_dir, "analysis_runs", "status").select("id", "status"), keys, ["id"], "run")
+
 
+@registry.add("wrt_08_by_link", view("select k.external_platform, k.external_id, s.id from (select distinct external_platform, external_id from s where external_id is not null and external_platform is not null union select distinct 'other', external_id from s where external_id is not null) k left join s on k.external_platform = s.external_platform and k.external_id = s.external_id", s=S_SQL))
+def wrt_08_by_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by their links to trackers, and on a tracker that has none."""
+    rows = store(spark, sf_dir).select("external_platform", "external_id", "id")
+    linked = rows.where("external_id is not null")
+    keys = linked.select("external_platform", "external_id").where("external_platform is not null").unionByName(linked.select(F.lit("other").alias("external_platform"), "external_id"))
+    return entities.looked_up(rows, keys, ["external_platform", "external_id"], "issue", required=False).drop("error")
 
-@registry.add("wrt_12_sessions", "select id, last_login_at is not null and last_login_at >= timestamptz '2025-03-01 00:00:00+00' and is_active as active from users")
+
+@registry.add("wrt_12_sessions", view(f"select id, user_id from s where is_active and epoch_us(expires_at) > {NOW_US}", s=_SESSIONS))
 def wrt_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that have not run out, 31 days after the login of an active user."""
-    at = F.lit("2025-03-01 00:00:00").cast("timestamp")
-    return read(spark, sf_dir, "users").select("id", (F.col("last_login_at").isNotNull() & (F.col("last_login_at") >= at) & F.col("is_active")).alias("active"))
+    """Sessions that are active and have not run out."""
+    return entities.active_sessions(sessions(spark, sf_dir), now()).select("id", "user_id")
+
+
+@registry.add("wrt_12_revoked", f"select 's-' || u.id as id, u.is_active and not coalesce(u.is_admin, false) and not coalesce(u.mfa_enabled, false) and not (u.type_of_login is not distinct from 'google') as is_active, case when u.is_active and not coalesce(u.is_admin, false) and not coalesce(u.mfa_enabled, false) and not (u.type_of_login is not distinct from 'google') and u.email_verified then {NOW_US} else epoch_us(u.updated_at) end as last_activity_us from users u")
+def wrt_12_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions revoked by id, by token and by user; verified users are then active in those that are left."""
+    users = read(spark, sf_dir, "users")
+    rows = entities.revoked(sessions(spark, sf_dir), users.where("is_admin").select(F.concat(F.lit("s-"), "id").alias("id")))
+    rows = entities.revoked(rows, users.where("mfa_enabled").select(F.sha2("id", 256).alias("session_token")), "session_token")
+    rows = entities.revoked(rows, users.where("type_of_login = 'google'").select(F.col("id").alias("user_id")), "user_id")
+    rows = entities.seen(rows, users.where("email_verified").select(F.concat(F.lit("s-"), "id").alias("id")), now())
+    return rows.select("id", "is_active", F.unix_micros("last_activity_at").alias("last_activity_us"))
+
+
+@registry.add("wrt_12_without_expired", view(f"select id from s where epoch_us(expires_at) >= {NOW_US} or expires_at is null union all select 'new-' || user_id from s where expires_at is null", s=_SESSIONS))
+def wrt_12_without_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions but those that ran out, and new ones for users who never logged in."""
+    rows = sessions(spark, sf_dir)
+    new = rows.where("expires_at is null").select(F.concat(F.lit("new-"), "user_id").alias("id"), "user_id")
+    return entities.new_sessions(entities.without_expired(rows, now()), new, now()).select("id")
+
+
+_LOGGED = "(select id, user_id, status, coalesce(resolution_reason, '') reason, assigned_to_user_id a from s)"
+
+
+@registry.add(
+    "wrt_10_activity_log",
+    view(
+        """select l.*, coalesce(u.full_name, 'System') as user_name from (
+  select id, user_id, 'status_changed' as activity_type, 'Status changed from open to ' || status as details, '{"old_status":"open","new_status":"' || status || '"' || case when reason = '' then '' else ',"resolution_reason":"' || reason || '"' end || '}' as metadata from l where status <> 'open'
+  union all select id, user_id, 'created', 'Issue detected during analysis', '' from l
+  union all select id, user_id, 'assigned', 'Issue assigned to team member', '{"assigned_to_user_id":"' || a || '"}' from l where a is not null
+  union all select id, user_id, 'unassigned', 'Issue unassigned', '{"old_user_id":"' || a || '"}' from l where a is not null) l left join users u on l.user_id = u.id""",
+        s=held_sql("technical_debt_issues", "user_id", "status", "resolution_reason", "assigned_to_user_id"),
+        l=_LOGGED,
+    ),
+)
+def wrt_10_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is logged on each issue: its detection, its status if it left open, its assignment and the end of it."""
+    rows = held(spark, sf_dir, "technical_debt_issues", "user_id", "status", "resolution_reason", "assigned_to_user_id").withColumn("issue_id", F.col("id"))
+    moved = rows.where("status <> 'open'").select("id", "issue_id", "user_id", F.lit("open").alias("old_status"), F.col("status").alias("new_status"), F.col("resolution_reason").alias("reason"))
+    given = rows.where("assigned_to_user_id is not null").withColumn("old_user_id", F.col("assigned_to_user_id"))
+    log = entities.status_changes(moved, now()).unionByName(entities.detected(rows, now())).unionByName(entities.assigned(given, now())).unionByName(entities.unassigned(given, now()))
+    return entities.told_activity(log, read(spark, sf_dir, "users")).select("id", "user_id", "activity_type", "details", F.coalesce("metadata", F.lit("")).alias("metadata"), "user_name")
 
 
 @registry.add("set_01_union_all", "select 'issue' as kind, id from technical_debt_issues union all select 'comment', id from issue_comments")
@@ -189,3 +309,19 @@ def snk_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = documents.where(F.col("created_at") < F.lit("2025-02-15 00:00:00").cast("timestamp")).where("source = 'wiki_page'")
     cached = sinks.with_cache_key(early, "lines", "text").select("cache_key").withColumn("stored_at", now())
     return sinks.cache_misses(sinks.with_cache_key(documents, "lines", "text"), cached, now()).select("doc_id", "cache_key")
+
+
+@registry.add(
+    "snk_04_cache_stored",
+    view(
+        "select cache_key, value, stored_us from o union all select cache_key, max(value), 1743465600000000 from n where cache_key not in (select cache_key from o) group by 1",
+        o="(select 'analysis:v1:lines:' || sha256(text) as cache_key, max('old') as value, max(epoch_us(created_at)) as stored_us from documents where text is not null and source = 'wiki_page' group by 1 having max(epoch_us(created_at)) > 1743465600000000 - 7 * 86400000000)",
+        n="(select 'analysis:v1:lines:' || sha256(text) as cache_key, length(text)::varchar as value from documents where text is not null)",
+    ),
+)
+def snk_04_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of line counts after all documents: entries of the last week stay, others are replaced or gone."""
+    documents = sinks.with_cache_key(read(spark, sf_dir, "documents").where("text is not null"), "lines", "text")
+    cached = documents.where("source = 'wiki_page'").groupBy("cache_key").agg(F.lit("old").alias("value"), F.max("created_at").alias("stored_at"))
+    made = entities.stored(cached, documents.select("cache_key", F.length("text").cast("string").alias("value")), now(), sinks.CACHE_DAYS)
+    return made.select("cache_key", "value", F.unix_micros("stored_at").alias("stored_us"))
