@@ -16,7 +16,8 @@ def ts(n: int) -> dt.datetime:
     return dt.datetime(2025, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=n)
 
 
-NOW = F.lit("2025-01-11 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2025-01-11 00:00:00").cast("timestamp")
 THING = "id string, name string, error string, updated_at timestamp"
 
 
@@ -35,34 +36,34 @@ def test_look_ups(spark):
 
 def test_updates_and_removal(spark):
     table = things(spark, ("a", "x", None), ("b", "y", None), (None, "z", None))
-    made, missing = entities.updated(table, spark.createDataFrame([("a", "p"), ("a", "q"), ("c", "r"), (None, "s")], "id string, name string"), NOW)
+    made, missing = entities.updated(table, spark.createDataFrame([("a", "p"), ("a", "q"), ("c", "r"), (None, "s")], "id string, name string"), now())
     assert rows(made, "id", "name") == sorted([("a", "q"), ("b", "y"), (None, "z")], key=repr)
     assert [r["updated_at"] is not None for r in made.orderBy("id").collect()] == [False, True, False]
     assert rows(missing) == sorted([("c", "not found"), (None, "not found")], key=repr)
     kept, missing = entities.removed(table, spark.createDataFrame([("a",), ("a",), ("c",)], "id string"))
     assert rows(kept, "id") == [("b",), (None,)] and rows(missing) == [("c", "not found")]
-    grown = entities.created(table, spark.createDataFrame([("n", 1)], "id string, extra int"), NOW, name=F.lit("new"))
+    grown = entities.created(table, spark.createDataFrame([("n", 1)], "id string, extra int"), now(), name=F.lit("new"))
     assert rows(grown.where("id = 'n'"), "id", "name", "error") == [("n", "new", None)] and grown.columns == table.columns
 
 
 def test_sessions(spark):
     data = [("1", "u", "t1", ts(0), ts(20), ts(1), True), ("2", "u", "t2", ts(0), ts(5), ts(2), True), ("3", "v", "t3", ts(0), None, None, False)]
     df = spark.createDataFrame(data, "id string, user_id string, session_token string, created_at timestamp, expires_at timestamp, last_activity_at timestamp, is_active boolean")
-    assert rows(entities.active_sessions(df, NOW), "id") == [("1",)]
-    assert rows(entities.without_expired(df, NOW), "id") == [("1",), ("3",)]
+    assert rows(entities.active_sessions(df, now()), "id") == [("1",)]
+    assert rows(entities.without_expired(df, now()), "id") == [("1",), ("3",)]
     tokens = spark.createDataFrame([("t2",), ("t3",), (None,)], "session_token string")
     assert rows(entities.by_token(df, tokens), "session_token", "id", "error") == sorted([("t2", "2", None), ("t3", None, "session not found"), (None, None, "session not found")], key=repr)
     assert rows(entities.revoked(df, tokens, "session_token"), "id", "is_active") == [("1", True), ("2", False), ("3", False)]
     assert rows(entities.revoked(df, df.where("user_id = 'u'"), "user_id").where("is_active"), "id") == []
-    touched = entities.seen(entities.revoked(df, df.where("id = '1'")), df, NOW)
+    touched = entities.seen(entities.revoked(df, df.where("id = '1'")), df, now())
     assert [r["last_activity_at"] for r in touched.orderBy("id").collect()][0] == df.orderBy("id").first()["last_activity_at"]
-    fresh = entities.new_sessions(df, spark.createDataFrame([("9", "w")], "id string, user_id string"), NOW).where("id = '9'").first()
+    fresh = entities.new_sessions(df, spark.createDataFrame([("9", "w")], "id string, user_id string"), now()).where("id = '9'").first()
     assert fresh["is_active"] and fresh["created_at"] == fresh["last_activity_at"]
 
 
 def test_activity_escapes_and_names(spark):
     events = spark.createDataFrame([("1", "i", "u", "open", "closed", 'say "no"'), ("2", "i", None, "open", "x", "")], "id string, issue_id string, user_id string, old_status string, new_status string, reason string")
-    log = entities.told_activity(entities.status_changes(events, NOW), spark.createDataFrame([("u", "Name", None)], "id string, full_name string, email string")).collect()
+    log = entities.told_activity(entities.status_changes(events, now()), spark.createDataFrame([("u", "Name", None)], "id string, full_name string, email string")).collect()
     assert [json.loads(r["metadata"]) for r in log] == [{"old_status": "open", "new_status": "closed", "resolution_reason": 'say "no"'}, {"old_status": "open", "new_status": "x"}]
     assert [(r["user_name"], r["user_email"]) for r in log] == [("Name", ""), ("System", "")]
 
@@ -70,7 +71,7 @@ def test_activity_escapes_and_names(spark):
 def test_cache(spark):
     cached = spark.createDataFrame([("a", "1", ts(9)), ("b", "1", ts(1)), ("d", "1", ts(0))], "cache_key string, value string, stored_at timestamp")
     new = spark.createDataFrame([("a", "2"), ("b", "2"), ("c", "2"), ("c", "3")], "cache_key string, value string")
-    assert rows(entities.stored(cached, new, NOW, 7), "cache_key", "value") == [("a", "1"), ("b", "2"), ("c", "3")]
+    assert rows(entities.stored(cached, new, now(), 7), "cache_key", "value") == [("a", "1"), ("b", "2"), ("c", "3")]
 
 
 def test_versions_are_whole_and_few(spark, tmp_path):
