@@ -7,6 +7,7 @@ uncovered_lines; an unknown branch or function coverage is -1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +31,9 @@ _KEPT_SEGMENTS = ("cmd", "internal", "pkg", "src", "lib")
 COLUMNS = ["artifact", "path", "lines_total", "lines_covered", "line_coverage", "branch_coverage", "function_coverage", "uncovered_lines"]
 
 
-def format_of(name: Column) -> Column:
+def format_of(name: Column, formats: dict[str, tuple[str, ...]] | None = None) -> Column:
     out = F.lit(None).cast("string")
-    for kind, names in reversed(FORMATS.items()):
+    for kind, names in reversed((formats or FORMATS).items()):
         out = F.when(basename(name).isin(*names), kind).otherwise(out)
     return out
 
@@ -41,8 +42,8 @@ def percent(part: Column, whole: Column, otherwise: float) -> Column:
     return F.when(whole > 0, part / whole * 100.0).otherwise(otherwise)
 
 
-def _file_row(rows: DataFrame) -> DataFrame:
-    """The common columns, from rows with artifact, path, lines_total, lines_covered, uncovered and optional percentages."""
+def file_rows(rows: DataFrame) -> DataFrame:
+    """The common columns, from rows with artifact, path, lines_total, lines_covered and, where a format knows them, uncovered (lines), branch_coverage and function_coverage."""
     have = set(rows.columns)
     unknown = F.lit(-1.0)
     total, covered = F.coalesce("lines_total", F.lit(0)).cast("int"), F.coalesce("lines_covered", F.lit(0)).cast("int")
@@ -50,7 +51,7 @@ def _file_row(rows: DataFrame) -> DataFrame:
         "artifact", "path", total.alias("lines_total"), covered.alias("lines_covered"), percent(covered, total, 0.0).alias("line_coverage"),
         (F.coalesce("branch_coverage", unknown) if "branch_coverage" in have else unknown).alias("branch_coverage"),
         (F.coalesce("function_coverage", unknown) if "function_coverage" in have else unknown).alias("function_coverage"),
-        F.sort_array(F.coalesce("uncovered", F.array().cast("array<int>"))).alias("uncovered_lines"),
+        (F.sort_array(F.coalesce("uncovered", F.array().cast("array<int>"))) if "uncovered" in have else F.array().cast("array<int>")).alias("uncovered_lines"),
     )
 
 
@@ -77,7 +78,7 @@ def parse_go(lines: DataFrame) -> DataFrame:
     good = rows.where("start >= 1 and stop >= start and statements >= 1 and count is not null")
     hit = F.col("count") > 0
     files = good.groupBy("artifact", "file").agg(F.sum("statements").alias("lines_total"), F.sum(F.when(hit, F.col("statements")).otherwise(0)).alias("lines_covered"), F.collect_set(F.when(~hit, F.col("start"))).alias("uncovered"))
-    return _file_row(files.withColumn("path", package_path(F.col("file"))))
+    return file_rows(files.withColumn("path", package_path(F.col("file"))))
 
 
 def parse_lcov(lines: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def parse_lcov(lines: DataFrame) -> DataFrame:
         *[last(f"{tag}:").alias(tag) for tag in ("BRF", "BRH", "FNF", "FNH")],
     )
     share = lambda hit, found: percent(F.coalesce(hit, F.lit(0)), F.coalesce(found, F.lit(0)), -1.0)
-    return _file_row(records.withColumns({"branch_coverage": share(F.col("BRH"), F.col("BRF")), "function_coverage": share(F.col("FNH"), F.col("FNF"))}))
+    return file_rows(records.withColumns({"branch_coverage": share(F.col("BRH"), F.col("BRF")), "function_coverage": share(F.col("FNH"), F.col("FNF"))}))
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def parse_cobertura(artifacts: DataFrame) -> DataFrame:
     rows = classes.select("artifact", rooted(F.col("c._filename")).alias("path"), F.coalesce(F.col("c.`_branch-rate`"), F.lit(0.0)).alias("rate"), F.concat(F.coalesce("c.lines.line", empty), of_methods).alias("all"))
     hits = rows.select("artifact", "path", F.explode("all").alias("l")).select("artifact", "path", F.coalesce("l._number", F.lit(0)).alias("line"), F.coalesce("l._hits", F.lit(0)).alias("hits"))
     rates = rows.groupBy("artifact", "path").agg(F.avg(F.when(F.col("rate") >= 0, F.col("rate") * 100)).alias("branch_coverage"))
-    return _file_row(rates.join(merge_hits(hits), ["artifact", "path"], "left"))
+    return file_rows(rates.join(merge_hits(hits), ["artifact", "path"], "left"))
 
 
 _COUNTER = "counter: array<struct<_type: string, _missed: int, _covered: int>>"
@@ -158,7 +159,7 @@ def parse_jacoco(artifacts: DataFrame) -> DataFrame:
 
     summed = counter("LINE")
     bare = F.size(lines) == 0
-    return _file_row(
+    return file_rows(
         files.select(
             "artifact", rooted(F.concat(F.replace("_name", F.lit("."), F.lit("/")), F.lit("/"), "f._name")).alias("path"),
             F.when(bare, F.coalesce(summed["_missed"], F.lit(0)) + F.coalesce(summed["_covered"], F.lit(0))).otherwise(F.size(lines)).alias("lines_total"),
@@ -183,7 +184,7 @@ def parse_clover(artifacts: DataFrame) -> DataFrame:
     hit = lambda l: F.coalesce(l["_count"], F.lit(0)) > 0  # noqa: E731, E741
     has = F.coalesce(F.size("f.line") > 0, F.lit(False))
     number = lambda c: F.coalesce(F.col(f"f.metrics.{c}"), F.lit(0))
-    return _file_row(
+    return file_rows(
         files.select(
             "artifact", rooted(F.col("f._name")).alias("path"),
             F.when(has, F.size(counted)).otherwise(number("_statements")).alias("lines_total"),
@@ -201,25 +202,25 @@ def parse_simplecov(artifacts: DataFrame) -> DataFrame:
     lines = F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", "lines array<string>")["lines"]).otherwise(F.from_json("raw", "array<string>"))
     hits = files.select("artifact", rooted(F.col("file")).alias("path"), F.posexplode_outer(lines).alias("i", "v"))
     known = hits.where("v is not null").select("artifact", "path", (F.col("i") + 1).alias("line"), F.coalesce(F.col("v").try_cast("double").cast("int"), F.lit(0)).alias("hits"))
-    return _file_row(hits.select("artifact", "path").distinct().join(merge_hits(known), ["artifact", "path"], "left"))
+    return file_rows(hits.select("artifact", "path").distinct().join(merge_hits(known), ["artifact", "path"], "left"))
 
 
 PARSERS = {"go": lambda a: parse_go(text_lines(a)), "lcov": lambda a: parse_lcov(text_lines(a)), "cobertura": parse_cobertura, "jacoco": parse_jacoco, "clover": parse_clover, "simplecov": parse_simplecov}
 
 
-def parse_artifacts(artifacts: DataFrame) -> DataFrame:
-    """Files of artifacts of all formats, with the format; each branch reads only its own artifacts."""
-    typed = artifacts.withColumn("format", format_of(F.col("name")))
-    parts = [parser(typed.where(F.col("format") == kind)).withColumn("format", F.lit(kind)) for kind, parser in PARSERS.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def parse_artifacts(artifacts: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, formats: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Files of artifacts of all formats, with the format; each branch reads only its own artifacts.
+
+    Formats of one's own are added as a parser, which gives ``file_rows`` of its artifacts, and the names of their files.
+    """
+    typed = artifacts.withColumn("format", format_of(F.col("name"), formats))
+    parts = [parser(typed.where(F.col("format") == kind)).withColumn("format", F.lit(kind)) for kind, parser in (parsers or PARSERS).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def rejected_artifacts(artifacts: DataFrame) -> DataFrame:
-    """Warnings on artifacts that are too large or of no known format: message."""
-    reason = F.when(F.octet_length("content") > MAX_ARTIFACT_BYTES, F.lit(f"exceeds {MAX_ARTIFACT_BYTES} bytes")).when(format_of(F.col("name")).isNull(), F.lit("has no known format"))
+def rejected_artifacts(artifacts: DataFrame, limit: int = MAX_ARTIFACT_BYTES) -> DataFrame:
+    """Warnings on artifacts that are larger than a limit or of no known format: message."""
+    reason = F.when(F.octet_length("content") > limit, F.lit(f"exceeds {limit} bytes")).when(format_of(F.col("name")).isNull(), F.lit("has no known format"))
     return artifacts.select(F.concat("name", F.lit(": "), reason).alias("message")).where("message is not null")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.functions.text import extension, slashed
+from codestrata.functions.text import cleaned, extension, relative_path, slashed
 
 # Directories, extensions, limits and reasons of the file policy.
 GENERATED = (".git", "node_modules", "vendor", ".venv", "venv", "__pycache__", "dist", "build", "target", "bin")
@@ -43,8 +43,8 @@ def is_asset(path: Column) -> Column:
     return extension(path).isin(*ASSETS)
 
 
-def within_size(size: Column) -> Column:
-    return size <= MAX_BYTES
+def within_size(size: Column, limit: int = MAX_BYTES) -> Column:
+    return size <= limit
 
 
 def is_countable(path: Column) -> Column:
@@ -125,13 +125,37 @@ def in_scope(files: DataFrame, targets: DataFrame, path: str = "path") -> DataFr
     return files.join(targets.select(F.col("path").alias("_target")).distinct(), F.col(path) == F.col("_target"), "left_semi")
 
 
+MODES = ("full", "incremental", "no_changes")
+NO_TARGETS = "an incremental scope needs at least one file"
+
+
 def validate_scope(mode: str, files: list[str] | None = None) -> None:
-    if mode in ("full", "no_changes"):
-        return
-    if mode != "incremental":
+    if mode not in MODES:
         raise ValueError(f"unknown scope {mode!r}")
-    if not files:
-        raise ValueError("an incremental scope needs at least one file")
+    if mode == "incremental" and not files:
+        raise ValueError(NO_TARGETS)
+
+
+def scope_error(mode: Column, targets: Column) -> Column:
+    """What is wrong with requests of a mode and a number of target files, NULL if nothing."""
+    return F.when(~F.coalesce(mode.isin(*MODES), F.lit(False)), F.lit("unknown scope")).when((mode == "incremental") & (F.coalesce(targets, F.lit(0)) == 0), F.lit(NO_TARGETS))
+
+
+def selected(files: DataFrame, mode: str, targets: DataFrame, path: str = "path") -> DataFrame:
+    """The files that a scope lets through: all, the targets (path), or none."""
+    if mode not in MODES:
+        raise ValueError(f"unknown scope {mode!r}")
+    return files if mode == "full" else in_scope(files, targets, path) if mode == "incremental" else files.limit(0)
+
+
+def target(root: str, name: Column) -> Column:
+    """A target as it is named: its path below the root, and what is wrong with it (a struct of path and error)."""
+    given = F.btrim(name)
+    foreign = given.rlike(r"^[A-Za-z]:[\\/]|^\\\\")
+    plain = F.when(given.startswith("/"), relative_path(root, given)).otherwise(cleaned(slashed(given)))
+    outside = plain.isin("", ".", "..") | plain.startswith("../")
+    error = F.when(F.coalesce(given, F.lit("")) == "", F.lit("path is empty")).when(foreign, F.lit("an absolute path of another system")).when(outside, F.lit("outside the root"))
+    return F.struct(F.when(error.isNull(), F.concat(F.lit("/"), cleaned(slashed(plain)))).alias("path"), error.alias("error"))
 
 
 def normalize_targets(root: str, files: list[str]) -> list[str]:

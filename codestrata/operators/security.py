@@ -76,3 +76,11 @@ def unavailable(spark: SparkSession, reason: str) -> tuple[DataFrame, dict[str,
     """No findings, zero counts and a warning, where the scanner or its targets are missing."""
     empty = spark.createDataFrame([], "file_path string, line_number int, category string, severity string, message string, description string, tool_rule_id string, debt_hours double")
     return empty, {**security_metrics(empty).first().asDict(), "security_available": False, "security_skip_reason": reason}, [reason]
+
+
+def available_metrics(repositories: DataFrame, repository: str, findings: DataFrame, of: str, reason: str) -> DataFrame:
+    """The counts of each repository's findings; zeros and a reason where there are none to count, as if its scanner was unavailable."""
+    counts = security_metrics(findings.withColumn("_of", F.col(of)), ["_of"])
+    joined = repositories.select(repository).join(counts, F.col(repository) == F.col("_of"), "left")
+    known = F.col("_of").isNotNull()
+    return joined.select(repository, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c != "_of"], known.alias("security_available"), F.when(~known, F.lit(reason)).alias("security_skip_reason"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata import scan
 from codestrata.functions.text import relative_path
 from codestrata.operators import coverage, policy, security, sinks, structure, writes
 from codestrata.plans import coverage_queries
@@ -47,9 +46,11 @@ def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.coverage_candidates(files.withColumns({"length": F.lit(10), "content": F.lit("x").cast("binary")}), [""]).select("name")
 
 
-@registry.add("src_13_bounded", "select id, size_bytes <= 20971520 as accepted from user_repositories where size_bytes is not null")
+@registry.add("src_13_bounded", "select doc_id || '/lcov.info: exceeds 500 bytes' as message from documents where octet_length(encode(text)) > 500")
 def src_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "user_repositories").where("size_bytes is not null").select("id", (F.col("size_bytes") <= coverage.MAX_ARTIFACT_BYTES).alias("accepted"))
+    """Artifacts with the documents' texts against a bound of their size."""
+    rows = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("/lcov.info")).alias("name"), F.col("text").alias("content"))
+    return coverage.rejected_artifacts(rows, 500)
 
 
 @registry.add("src_14_supplied", "select file_path || ': has no known format' as message from technical_debt_issues where file_path is not null")
@@ -73,29 +74,6 @@ def src_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.metadata(files).select("path", F.col("content").isNotNull().alias("has_content"))
 
 
-@registry.add("scope_01_modes", "select * from (values ('full', true), ('incremental', false), ('no_changes', true), ('odd', false)) v(mode, valid)")
-def scope_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def valid(mode: str) -> bool:
-        try:
-            policy.validate_scope(mode)
-        except ValueError:
-            return False
-        return True
-
-    return spark.createDataFrame([(m, valid(m)) for m in ("full", "incremental", "no_changes", "odd")], "mode string, valid boolean")
-
-
-@registry.add("scope_02_targets", "select * from (values ('/a.go'), ('/b/c.go')) v(path)")
-def scope_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = policy.normalize_targets("/r", ["a.go", " ./a.go", "/r/b/../b/c.go", "b\\c.go"])
-    return spark.createDataFrame([(t,) for t in targets], "path string")
-
-
-@registry.add("scope_03_no_changes", "select cast(0 as bigint) as findings")
-def scope_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(spark, "/does/not/exist", "no_changes").findings.agg(F.count("*").alias("findings"))
-
-
 @registry.add("flt_11_vendored", "select id, len(list_filter(string_split(replace(file_path, '\\', '/'), '/'), lambda x: x in ('.git', 'node_modules', 'vendor'))) > 0 as vendored from complexity_metrics where file_path is not null")
 def flt_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "complexity_metrics").where("file_path is not null").select("id", policy.is_vendored(F.col("file_path")).alias("vendored"))
@@ -186,16 +164,6 @@ def rs_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.build_roots(_packages(spark, sf_dir)).where("dir = '/py'").select("repo", "tool")
 
 
-@registry.add("topk_03_entry_points", "select repository_id as repo, dir, path from (select distinct repository_id, '/' || split_part(file_path, '/', 2) as dir, file_path as path from complexity_metrics where repository_id is not null and ends_with(file_path, '.java') and len(string_split(file_path, '/')) > 2) qualify row_number() over (partition by repository_id, dir order by replace(path, '/', chr(1))) <= 10")
-def topk_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten Java entry points of each root, all Java files having a main method."""
-    paths = read(spark, sf_dir, "complexity_metrics").where("repository_id is not null and endswith(file_path, '.java') and size(split(file_path, '/')) > 2")
-    files = paths.select(F.col("repository_id").alias("repo"), F.col("file_path").alias("path")).distinct().withColumn("content", F.lit("public static void main("))
-    manifests = files.select("repo", F.concat(F.lit("/"), F.element_at(F.split("path", "/"), 2), F.lit("/pom.xml")).alias("path")).distinct().withColumn("content", F.lit(""))
-    both = files.unionByName(manifests)
-    return structure.entry_points(both, structure.build_roots(both))
-
-
 class _Counting:
     """An analyzer of users' own making: files per language."""
 
@@ -205,13 +173,6 @@ class _Counting:
         return Result(metrics={r["language"]: r["n"] for r in policy.with_language(files, "path").groupBy("language").agg(F.count("*").alias("n")).collect()})
 
 
-class _Failing:
-    id, name = "failing", "Fails"
-
-    def analyze(self, spark: SparkSession, files: DataFrame) -> Result:
-        raise RuntimeError("no tool")
-
-
 _DOC_LANGUAGE = "case " + " ".join(f"when lower(regexp_extract(file_path, '(\\.[^.]*)$', 1)) = '{e}' then '{language}'" for e, language in policy.ANALYZABLE.items()) + " end"
 
 
@@ -219,32 +180,3 @@ _DOC_LANGUAGE = "case " + " ".join(f"when lower(regexp_extract(file_path, '(\\.[
 def ext_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = run(spark, coverage_queries.sources(spark, sf_dir), [_Counting()])
     return spark.createDataFrame([(n, v) for _, n, v in report.metrics], "name string, value long")
-
-
-@registry.add("ext_03_parser_registry", "select unnest(['go', 'lcov', 'cobertura', 'jacoco', 'clover', 'simplecov']) as format")
-def ext_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in coverage.PARSERS], "format string")
-
-
-@registry.add("ext_05_isolation", "select * from (values ('failing', 'no tool'), ('counting', 'analyzer id occurs twice')) v(analyzer_id, error)")
-def ext_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One analyzer fails and one occurs twice; the others give their results."""
-    report = run(spark, coverage_queries.sources(spark, sf_dir), [_Counting(), _Failing(), _Counting()])
-    return spark.createDataFrame(report.failures, "analyzer_id string, error string")
-
-
-@registry.add("ext_06_progress", "select * from (values (1, 'counting', 'started'), (2, 'counting', 'finished'), (3, 'failing', 'started'), (4, 'failing', 'failed')) v(position, analyzer_id, stage)")
-def ext_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events: list[tuple] = []
-    run(spark, coverage_queries.sources(spark, sf_dir), [_Counting(), _Failing()], parallel=1, progress=lambda p: events.append((p.index, p.analyzer_id, p.stage)))
-    return spark.createDataFrame(events, "position int, analyzer_id string, stage string")
-
-
-@registry.add("ext_07_side_by_side", "select count(*) as analyzers from (select distinct 1 union all select 2)")
-def ext_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Built-in analyzers run at the same time over all documents that are source files."""
-    files = coverage_queries.sources(spark, sf_dir)
-    report = run(spark, files, [scan.Complexity(), scan.Lines()], parallel=2)
-    return spark.createDataFrame([(len({a for a, _, _ in report.metrics}),)], "analyzers long")
-
-

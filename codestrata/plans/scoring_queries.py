@@ -135,13 +135,13 @@ def cx_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("average_cyclomatic", F.round("average_cyclomatic", 6))
 
 
-_MESSAGE_SQL = """case when c > 20 then 'Function ''' || f || ''' has critical cyclomatic complexity of ' || c || ' (threshold: 20)'
+MESSAGE_SQL = """case when c > 20 then 'Function ''' || f || ''' has critical cyclomatic complexity of ' || c || ' (threshold: 20)'
   when c > 10 then 'Function ''' || f || ''' has high cyclomatic complexity of ' || c || ' (threshold: 10)'
   when n > 5 then 'Function ''' || f || ''' has deep nesting depth of ' || n || ' (threshold: 5)'
   else 'Function ''' || f || ''' has complexity issues' end"""
 
 
-@registry.add("cx_12_message", view(f"select id, {_MESSAGE_SQL} as message from m", h=_metrics_sql("function_name"), m=f"({_SHORT}, coalesce(function_name, '<anonymous>') f from h)"))
+@registry.add("cx_12_message", view(f"select id, {MESSAGE_SQL} as message from m", h=_metrics_sql("function_name"), m=f"({_SHORT}, coalesce(function_name, '<anonymous>') f from h)"))
 def cx_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.coalesce("function_name", F.lit("<anonymous>"))
     return _metrics(spark, sf_dir, "function_name").select("id", scoring.finding_message(name, F.col("cyclomatic_complexity"), F.col("nesting_depth")).alias("message"))
@@ -195,9 +195,11 @@ def flt_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "technical_debt_issues").where("file_path is not null").select("file_path", policy.is_asset(F.col("file_path")).alias("asset")).distinct()
 
 
-@registry.add("flt_03_size_limit", "select id, size_bytes <= 10485760 as within_limit from user_repositories where size_bytes is not null")
+@registry.add("flt_03_size_limit", "select doc_id, octet_length(encode(text)) <= 10485760 as within_limit, octet_length(encode(text)) <= 1000 as within_1000 from documents where text is not null")
 def flt_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "user_repositories").where("size_bytes is not null").select("id", policy.within_size(F.col("size_bytes")).alias("within_limit"))
+    """Sizes of texts against the limit of files, and against a lower one."""
+    size = F.octet_length("text")
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", policy.within_size(size).alias("within_limit"), policy.within_size(size, 1000).alias("within_1000"))
 
 
 @registry.add(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.operators import dashboards, store, structure
 from codestrata.plans.bindings import held, held_sql, view
 from codestrata.plans.registry import Registry
-from codestrata.sources import gitlog
+from codestrata.sources import gitlog, trees
 from codestrata.tables import holding, read
 
 registry = Registry()
@@ -207,9 +207,10 @@ def src_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gitlog.commits(lines).select("hash", "author", "email", "subject")
 
 
-@registry.add("src_09_repository_size", "select primary_language, sum(size_bytes) / 1048576.0 as size_mib from user_repositories group by 1")
+@registry.add("src_09_repository_size", "select coalesce(repository_id, '') as repository, cast(coalesce(sum(octet_length(encode(text))), 0) as double) / 1048576.0 as size_mib from documents group by 1")
 def src_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "user_repositories").groupBy("primary_language").agg((F.sum("size_bytes") / F.lit(1048576.0)).alias("size_mib"))
+    """The size of each repository's documents."""
+    return trees.size_mib(read(spark, sf_dir, "documents").select(F.coalesce("repository_id", F.lit("")).alias("repository"), F.octet_length("text").alias("length")), "repository")
 
 
 @registry.add("src_17_tables", "select 'users' as t, count(*) as n from users union all select 'analysis_runs', count(*) from analysis_runs union all select 'technical_debt_issues', count(*) from technical_debt_issues")

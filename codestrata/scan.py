@@ -46,7 +46,7 @@ def scan(spark: SparkSession, root: str, mode: str = "full", targets: list[str]
     judged = policy.file_policy(trees.tree(spark, base))
     if mode == "incremental":
         wanted = spark.createDataFrame([(p,) for p in policy.normalize_targets(base, targets or [])], "path string")
-        judged = policy.in_scope(judged, wanted)
+        judged = policy.selected(judged, mode, wanted)
     files = judged.where(F.col("reason").isNull()).select("path", "length", F.decode("content", "UTF-8").alias("content"))
     report = run(spark, files, analyzers if analyzers is not None else [Complexity(), Lines()], **options)
     refused = policy.warnings(judged).select(F.lit("scanner").alias("analyzer_id"), "message", F.lit(0).alias("part"))

@@ -88,5 +88,6 @@ def coverage_candidates(files: DataFrame, roots: list[str]) -> DataFrame:
     return found.select(F.col("path").alias("artifact"), F.col("path").alias("name"), root_of[F.col("path")].alias("root"), F.decode("content", "UTF-8").alias("content"), root_of[F.col("path")].alias("build_root"))
 
 
-def size_mib(files: DataFrame) -> DataFrame:
-    return files.agg((F.coalesce(F.sum("length"), F.lit(0)) / float(MIB)).alias("size_mib"))
+def size_mib(files: DataFrame, *keys: str) -> DataFrame:
+    """The size of a tree in MiB, or of each of several; a file of unknown length counts 0."""
+    return files.groupBy(*keys).agg((F.coalesce(F.sum("length"), F.lit(0)) / float(MIB)).alias("size_mib"))
