@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text
-from codestrata.operators import analysis, coverage, policy, security, structure
+from codestrata.operators import analysis, coverage, policy, security
 from codestrata.parse.registry import ast_nodes, parse_files, register_udtf
 from codestrata.plans.registry import Registry
 from codestrata.tables import read
