@@ -11,6 +11,9 @@ from codestrata.operators.references import Reference, orphan_counts, orphan_ref
 from codestrata.operators.rolling import peak_days, trailing_totals
 from codestrata.operators.snapshots import snapshot_changes
 from codestrata.plans.registry import Registry
+from codestrata.session import materialize
+from codestrata.streaming.activity import stream_files, written
+from codestrata.streaming.intervals import joined_periods, live_periods
 from codestrata.tables import folded, holding, micros, read, reference, utc_day
 
 registry = Registry()
@@ -215,3 +218,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods of scanning of each repository, and the gaps between them."""
     runs = holding(read(spark, sf_dir, "analysis_runs"), ["id"], ["updated_at", "loaded_at"], ["repository_id", "started_at", "completed_at"])
     return periods_and_gaps(runs, F.col("repository_id"), micros("started_at"), micros("completed_at")).withColumnRenamed("entity", "repository_id")
+
+
+@registry.add("p6_live", P6_SQL)
+def p6_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stream: runs come as files, keyed state holds an interval map per repository and slice, and what it told is joined."""
+    runs = holding(read(spark, sf_dir, "analysis_runs"), ["id"], ["updated_at", "loaded_at"], ["repository_id", "started_at", "completed_at"])
+    rows = runs.select(F.col("repository_id").alias("entity"), micros("started_at").alias("start_us"), micros("completed_at").alias("end_us"))
+    stream = stream_files(spark, materialize(rows, "runs"), ", ".join(f"{c} {t}" for c, t in rows.dtypes), per_batch=64)
+    return joined_periods(written(live_periods(stream), "live-periods")).withColumnRenamed("entity", "repository_id")

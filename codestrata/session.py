@@ -61,6 +61,11 @@ def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed))
 
 
+def noted(spark: SparkSession, path: str) -> None:
+    """Keep in mind a folder that was written for this application, for ``release``."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write ``df`` once to the shared folder as Parquet and return its path.
 
@@ -68,7 +73,7 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     where ``checkpoint()`` computes its input twice.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    noted(df.sparkSession, path)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codestrata.operators import writes
-from codestrata.session import shared_dir
+from codestrata.session import noted, shared_dir
 from codestrata.sources.versions import VersionedTable
 
 
@@ -57,3 +58,21 @@ def run_to_end(frame: DataFrame, name: str, mode: str = "append", then: Callable
     query.awaitTermination()
     result = frame.sparkSession.table(name)
     return then(result) if then else result
+
+
+def written(frame: DataFrame, label: str, mode: str = "update") -> DataFrame:
+    """Everything a bounded stream gives, written to the shared folder batch by batch and read back as a table.
+
+    A batch that is repeated after a failure replaces what it had written.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    schema = frame.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = frame.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    noted(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/rows")
