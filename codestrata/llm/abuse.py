@@ -14,6 +14,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ _TO_LATIN = str.maketrans(_LOOKALIKES)
 _TO_CYRILLIC = str.maketrans({latin: other for other, latin in reversed(_LOOKALIKES.items()) if "Ѐ" <= other <= "ӿ" and other in "авсекмнортух"})
 _FROM_SIGNS = str.maketrans(_SIGNS)
 
-_ENDS = re.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][)\"'”’»]))[ \t ]+|[\r\n\v\f\u0085  ]+|(?<=[。！？؟])")
+_ENDS = re.compile(r"([.!?…][)\"'”’»]?)[ \t ]+|[\r\n\v\f\u0085  ]+|([。！？؟])")
 _INVISIBLE = regex.compile(r"[\p{Cf}︀-️͏]+")
 _MARKS = regex.compile(r"[̀-ͯ]+")
 _LEAD = regex.compile(r"^\s*(?:\[\d{1,2}:\d\d\]\s*)?(?:@\w+:\s*)?(?:[>*|#/+\-]+\s*)*")
@@ -65,12 +66,19 @@ _CODE = regex.compile(
 _PIECE = regex.compile(r"<\w+>|[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}<>])[^\s,;:.?!()\[\]{}\"“”„«»、，。：；…=~`^/\\]|[!.:](?=\p{L}))+")
 _SPELLED = regex.compile(r"^\p{L}(?:[.\-_*·+|]\p{L}){2,}$")
 _REPEATED = regex.compile(r"(\p{L})\1{2,}")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
 _LETTER = regex.compile(r"\p{L}")
 _MASK = regex.compile(r"(?<=\p{L})[*#%&]+|[*#%&]+(?=\p{L})")
 
 
 def split_sentences(text: str) -> list[str]:
-    return [s for s in _ENDS.split(text) if s and not s.isspace()]
+    """Parts of a text that end at marks of the end, which stay with them, or at line ends."""
+    out, at = [], 0
+    for m in _ENDS.finditer(text):
+        out.append(text[at : m.end(m.lastindex) if m.lastindex else m.start()])
+        at = m.end()
+    out.append(text[at:])
+    return [s for s in out if s and not s.isspace()]
 
 
 def _plain(text: str) -> str:
@@ -113,31 +121,43 @@ def _is_single(piece: str) -> bool:
     return len(piece) == 1 and piece.isalpha() and not "\u3000" <= piece <= "\u9fff"
 
 
-@lru_cache(maxsize=KNOWN_WORDS)
-def _token(token: str, cyrillic: bool) -> tuple[bool, tuple[str, ...]]:
-    """Whether a letter stands alone in what is between blanks, and its parts: as they are if one does, else as words."""
-    pieces = _pieces(token)
+def _token(token: str, cyrillic: bool) -> tuple[str, ...]:
+    """The parts of what is between blanks, as words; after an empty mark and as they are if a letter stands alone among them."""
+    token = _plain(token)
+    pieces = _pieces(token) if token else []
     if any(map(_is_single, pieces)):
-        return True, tuple(pieces)
-    return False, tuple(w for p in pieces if (w := p if p[0] == "<" else _word(p, cyrillic)))
+        return ("", *pieces)
+    return tuple(w for p in pieces if (w := p if p[0] == "<" else _word(p, cyrillic)))
+
+
+@lru_cache(maxsize=KNOWN_WORDS)
+def _latin_token(token: str) -> tuple[str, ...]:
+    return _token(token, False)
+
+
+@lru_cache(maxsize=KNOWN_WORDS)
+def _cyrillic_token(token: str) -> tuple[str, ...]:
+    return _token(token, True)
 
 
 def words_of(sentence: str) -> tuple[str, ...]:
     """The words of a sentence without disguise and with placeholders; letters that stand alone in a row are one word."""
-    text = _plain(sentence)
-    if not text[:1].isalnum():
-        text = _LEAD.sub("", text, count=1)
+    text = sentence if sentence[:1].isalnum() else _LEAD.sub("", _plain(sentence), count=1)
     cyrillic = False
-    if not text.isascii():
-        other = sum("\u0400" <= c <= "\u04ff" for c in text)
-        cyrillic = other > sum(c.isalpha() for c in text) - other
-    parts = [_token(t, cyrillic) for t in text.split()]
-    if not any(alone for alone, _ in parts):
-        return tuple(w for _, own in parts for w in own)
+    if not text.isascii() and (other := len(_CYRILLIC.findall(text))):
+        cyrillic = 2 * other > sum(map(str.isalpha, text))
+    parts = list(map(_cyrillic_token if cyrillic else _latin_token, text.split()))
+    words = tuple(chain.from_iterable(parts))
+    return _joined(parts, cyrillic) if "" in words else words
+
+
+def _joined(parts: list[tuple[str, ...]], cyrillic: bool) -> tuple[str, ...]:
+    """Words of parts among which letters stand alone."""
     words: list[str] = []
     single: list[str] = []
-    for raw, own in [*parts, (False, ("",))]:
-        for piece in own:
+    for own in [*parts, ("<",)]:
+        raw = own[:1] == ("",)
+        for piece in own[raw:]:
             if (raw and _is_single(piece)) or (single and piece in ("@", "$", "0", "1", "3", "4", "5")):
                 single.append(piece)
                 continue
@@ -145,7 +165,7 @@ def words_of(sentence: str) -> tuple[str, ...]:
                 words += [_word("".join(single), cyrillic)] if len(single) >= 3 else single
                 single = []
             words.append(_word(piece, cyrillic) if raw and piece[0] != "<" else piece)
-    return tuple(w for w in words if w)
+    return tuple(w for w in words[:-1] if w)
 
 
 def word_features(word: str) -> list[str]:
