@@ -172,6 +172,7 @@ def suggestions(language: str, cyclomatic: Column, cognitive: Column, nesting: C
     )
 
 
+# The texts of messages and descriptions below.
 def finding_message(name: Column, cyclomatic: Column, nesting: Column) -> Column:
     """One line on the worst measure of a function."""
     cyc, nest = _int(cyclomatic), _int(nesting)

@@ -305,6 +305,7 @@ def overall(files: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+# The texts of descriptions, rules and messages of the next two functions.
 def description(files: DataFrame, kind: Column) -> Column:
     """Coverage of one file in words, with the first twenty lines that are not covered."""
     lines = F.col("uncovered_lines")

@@ -45,19 +45,55 @@ SOURCE_DIRS = ("src", "lib", "pkg", "internal", "cmd", "app", "core", "source",
 JAVA_SOURCE_DIRS = ("src/main/java", "src/main/kotlin")
 TEST_DIRS = ("tests", "__tests__", "test", "spec", "testdata", "e2e", "integration")
 CONFIG_FILES = {
-    **dict.fromkeys(("package.json", "package-lock.json"), ("dependencies", "npm")),
-    "yarn.lock": ("dependencies", "yarn"), "pnpm-lock.yaml": ("dependencies", "pnpm"), "requirements.txt": ("dependencies", "pip"), "Pipfile": ("dependencies", "pipenv"),
-    "poetry.lock": ("dependencies", "poetry"), "setup.py": ("dependencies", "python"),
-    **dict.fromkeys(("go.mod", "go.sum"), ("dependencies", "go")), **dict.fromkeys(("Gemfile", "Gemfile.lock"), ("dependencies", "ruby")),
-    **dict.fromkeys(("Cargo.toml", "Cargo.lock"), ("dependencies", "rust")), **dict.fromkeys(("composer.json", "composer.lock"), ("dependencies", "php")),
-    "Makefile": ("build", "make"), "CMakeLists.txt": ("build", "cmake"), **dict.fromkeys(("build.gradle", "build.gradle.kts"), ("build", "gradle")), "pom.xml": ("build", "maven"),
-    "webpack.config.js": ("build", "webpack"), **dict.fromkeys(("vite.config.js", "vite.config.ts"), ("build", "vite")), "rollup.config.js": ("build", "rollup"),
-    **dict.fromkeys(("Dockerfile", ".dockerignore"), ("containerization", "docker")), **dict.fromkeys(("docker-compose.yml", "docker-compose.yaml"), ("containerization", "docker-compose")),
-    **dict.fromkeys((".env", ".env.example", ".env.local"), ("environment", "dotenv")), **dict.fromkeys(("config.yml", "config.yaml"), ("environment", "yaml")), "appsettings.json": ("environment", "json"),
-    **dict.fromkeys(("tsconfig.json", "tsconfig.build.json"), ("typescript", "typescript")), "jsconfig.json": ("typescript", "javascript"),
-    **dict.fromkeys((".eslintrc", ".eslintrc.js", ".eslintrc.json"), ("linting", "eslint")), **dict.fromkeys((".prettierrc", ".prettierrc.json"), ("linting", "prettier")), ".editorconfig": ("linting", "editorconfig"),
-    "jest.config.js": ("testing", "jest"), "vitest.config.js": ("testing", "vitest"), "pytest.ini": ("testing", "pytest"), "phpunit.xml": ("testing", "phpunit"),
-}
+    "package.json": ("dependencies", "npm"),
+    "package-lock.json": ("dependencies", "npm"),
+    "yarn.lock": ("dependencies", "yarn"),
+    "pnpm-lock.yaml": ("dependencies", "pnpm"),
+    "requirements.txt": ("dependencies", "pip"),
+    "Pipfile": ("dependencies", "pipenv"),
+    "poetry.lock": ("dependencies", "poetry"),
+    "setup.py": ("dependencies", "python"),
+    "go.mod": ("dependencies", "go"),
+    "go.sum": ("dependencies", "go"),
+    "Gemfile": ("dependencies", "ruby"),
+    "Gemfile.lock": ("dependencies", "ruby"),
+    "Cargo.toml": ("dependencies", "rust"),
+    "Cargo.lock": ("dependencies", "rust"),
+    "composer.json": ("dependencies", "php"),
+    "composer.lock": ("dependencies", "php"),
+    "Makefile": ("build", "make"),
+    "CMakeLists.txt": ("build", "cmake"),
+    "build.gradle": ("build", "gradle"),
+    "build.gradle.kts": ("build", "gradle"),
+    "pom.xml": ("build", "maven"),
+    "webpack.config.js": ("build", "webpack"),
+    "vite.config.js": ("build", "vite"),
+    "vite.config.ts": ("build", "vite"),
+    "rollup.config.js": ("build", "rollup"),
+    "Dockerfile": ("containerization", "docker"),
+    "docker-compose.yml": ("containerization", "docker-compose"),
+    "docker-compose.yaml": ("containerization", "docker-compose"),
+    ".dockerignore": ("containerization", "docker"),
+    ".env": ("environment", "dotenv"),
+    ".env.example": ("environment", "dotenv"),
+    ".env.local": ("environment", "dotenv"),
+    "config.yml": ("environment", "yaml"),
+    "config.yaml": ("environment", "yaml"),
+    "appsettings.json": ("environment", "json"),
+    "tsconfig.json": ("typescript", "typescript"),
+    "tsconfig.build.json": ("typescript", "typescript"),
+    "jsconfig.json": ("typescript", "javascript"),
+    ".eslintrc": ("linting", "eslint"),
+    ".eslintrc.js": ("linting", "eslint"),
+    ".eslintrc.json": ("linting", "eslint"),
+    ".prettierrc": ("linting", "prettier"),
+    ".prettierrc.json": ("linting", "prettier"),
+    ".editorconfig": ("linting", "editorconfig"),
+    "jest.config.js": ("testing", "jest"),
+    "vitest.config.js": ("testing", "vitest"),
+    "pytest.ini": ("testing", "pytest"),
+    "phpunit.xml": ("testing", "phpunit"),
+}
 
 
 def _name(path: Column) -> Column:
