@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from codestrata.operators import snapshots
 from codestrata.operators.history import attribute_history
 from codestrata.operators.intervals import IntervalMap, periods_and_gaps
 from codestrata.operators.references import Reference, orphan_counts, orphan_references
@@ -53,7 +55,9 @@ def changes(df):
 SNAPSHOT = "d date, repo string, fp string, path string, line int, at timestamp, record string, hash string"
 
 
-def test_snapshot_changes(spark):
+@pytest.mark.parametrize("sent", [200_000, 2])
+def test_snapshot_changes(spark, monkeypatch, sent):
+    monkeypatch.setattr(snapshots, "BROADCAST_DELIVERIES", sent)
     data = [
         (day(0), "r", "A", "/x", 1, ts(0), "", ""), (day(0), "r", "b", "/x", None, ts(0), "", ""), (day(0), "r", "c", "/x", 3, ts(0), "", ""),
         (day(7), "r", " a ", "/x", 1, ts(1), "", ""), (day(7), "r", "b", "/x", 5, ts(1), "", ""), (day(7), "r", "d", None, None, ts(1), "", ""), (day(7), "r", "d", None, None, ts(1), "", ""),
