@@ -26,19 +26,19 @@ def trailing_totals(daily: DataFrame, spans: list[int]) -> DataFrame:
     given = F.col("amount")
     if daily.schema["amount"].dataType.typeName() in ("double", "float"):
         given = F.when(F.abs(given) < float("inf"), given)  # NaN is above infinity
-    daily = daily.select("entity", "day", F.coalesce(given.cast(EXACT), F.lit(0).cast(EXACT)).alias("amount")).where(F.col("day").isNotNull())
-    bounds = daily.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    # a struct is never NULL, so that an entity may be, and the totals stay where they were grouped
+    daily = daily.select(F.struct("entity").alias("key"), "day", F.coalesce(given.cast(EXACT), F.lit(0).cast(EXACT)).alias("amount")).where(F.col("day").isNotNull())
+    bounds = daily.groupBy("key").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     reach = (
         daily.where(F.col("amount") != 0)
         .withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(max(spans) - 1))))
-        .groupBy("entity", F.date_add("day", F.col("ahead")).alias("day"))
+        .groupBy(F.col("key").alias("r_key"), F.date_add("day", F.col("ahead")).alias("r_day"))
         .agg(*[F.sum(F.when(F.col("ahead") < n, F.col("amount"))).alias(f"t{n}") for n in spans])
-        .select(F.col("entity").alias("r_entity"), F.col("day").alias("r_day"), *[f"t{n}" for n in spans])
     )
-    calendar = bounds.select("entity", F.explode(F.sequence("first_day", "last_day")).alias("day"))
-    joined = calendar.join(reach, F.col("entity").eqNullSafe(F.col("r_entity")) & (F.col("day") == F.col("r_day")), "left")
+    calendar = bounds.select("key", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    joined = calendar.join(reach, (F.col("key") == F.col("r_key")) & (F.col("day") == F.col("r_day")), "left")
     totals = {n: F.coalesce(F.col(f"t{n}").cast("double"), F.lit(0.0)) for n in spans}
-    return joined.select("entity", "day", *[c for n in spans for c in (totals[n].alias(f"total_{n}"), (totals[n] / n).alias(f"average_{n}"))])
+    return joined.select(F.col("key.entity").alias("entity"), "day", *[c for n in spans for c in (totals[n].alias(f"total_{n}"), (totals[n] / n).alias(f"average_{n}"))])
 
 
 def peak_days(totals: DataFrame, spans: list[int]) -> DataFrame:
