@@ -62,22 +62,23 @@ def sketches(rows: DataFrame, keys: list[str], measures: list[str], k: int = K)
     return made.select(*keys, each.alias("s")).select(*keys, "s.measure", "s.kind", "s.n", "s.sketch").where(F.col("n") > 0)
 
 
-def merged(parts: DataFrame, grouping: list[list[str]], k: int = K) -> DataFrame:
+def merged(parts: DataFrame, grouping: list[list[str]], k: int = K, kinds: tuple[str, ...] = ("bigint", "double")) -> DataFrame:
     """Sketches merged levelwise for each set of grouping columns.
 
     ``parts`` are rows of ``sketches``, fresh or read back, of any mixture of days and parts. Sketches of
-    one measure must be of one kind, else they come out as two rows.
+    one measure must be of one kind, else they come out as two rows. ``kinds`` are those that can occur; another is an error.
 
     Result: one column for each key that occurs in ``grouping`` (NULL where it is not in the set),
     level (the set's columns), measure, kind, n, sketch.
     """
     columns = list(dict.fromkeys(c for g in grouping for c in g))
+    of_kind = lambda x: F.when(F.col("kind") == x, F.col("sketch")).when(~F.col("kind").isin(*kinds), F.raise_error(F.lit("a sketch of another kind")).cast("binary"))
 
     def of(g: list[str]) -> DataFrame:
-        whole, real = (_KINDS[x][1](F.when(F.col("kind") == x, F.col("sketch")), F.lit(k)) for x in ("bigint", "double"))
-        made = parts.groupBy(*g, "measure", "kind").agg(F.sum("n").alias("n"), whole.alias("whole"), real.alias("real"))
+        made = parts.groupBy(*g, "measure", "kind").agg(F.sum("n").alias("n"), *[_KINDS[x][1](of_kind(x), F.lit(k)).alias(f"_{x}") for x in kinds])
         own = [F.col(c) if c in g else F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in columns]
-        return made.select(*own, F.lit("+".join(g)).alias("level"), "measure", "kind", "n", F.when(F.col("kind") == "bigint", F.col("whole")).otherwise(F.col("real")).alias("sketch"))
+        sketch = F.coalesce(*[F.when(F.col("kind") == x, F.col(f"_{x}")) for x in kinds])
+        return made.select(*own, F.lit("+".join(g)).alias("level"), "measure", "kind", "n", sketch.alias("sketch"))
 
     return reduce(DataFrame.unionByName, [of(g) for g in grouping])
 

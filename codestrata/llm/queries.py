@@ -12,6 +12,7 @@ from codestrata.tables import folded, holding, read, reference, utc_day
 
 registry = Registry()
 MEASURES = ["cyclomatic_complexity", "lines_of_code"]
+WHOLE = ("bigint",)
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 GROUPINGS = [["repository_id"], ["language"], ["repository_id", "language"]]
 NOT_STATED = "unknown"
@@ -37,7 +38,7 @@ def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p1_percentiles")
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per repository, per language and per both, from daily sketches merged, with their bound and its confidence."""
-    merged = quantiles.merged(daily_sketches(spark, sf_dir), GROUPINGS)
+    merged = quantiles.merged(daily_sketches(spark, sf_dir), GROUPINGS, kinds=WHOLE)
     values = [quantiles.whole_percentile("sketch", q).alias(f"p{round(100 * q)}") for q in PERCENTILES]
     return merged.select("level", "repository_id", "language", "measure", "n", *values, F.lit(quantiles.rank_error()).alias("rank_error"), F.lit(quantiles.CONFIDENCE).alias("confidence"))
 
@@ -112,7 +113,7 @@ def _of_ranks(long: DataFrame, parts: DataFrame, groupings: list[list[str]], *me
     each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), quantiles.whole_percentile("sketch", q).alias("value")) for q in PERCENTILES]))
     checked = None
     for g in groupings:
-        own = quantiles.merged(parts, [g]).select(*[F.col(c).alias(f"a_{c}") for c in [*g, "measure"]], "n", each.alias("x")).select("*", "x.q", "x.value")
+        own = quantiles.merged(parts, [g], kinds=WHOLE).select(*[F.col(c).alias(f"a_{c}") for c in [*g, "measure"]], "n", each.alias("x")).select("*", "x.q", "x.value")
         counts = histogram.groupBy(*g, "measure", "v").agg(F.sum("k").alias("k"))
         match = F.col("a_measure") == F.col("measure")
         for c in g:

@@ -64,6 +64,8 @@ def test_fractions_stay_fractions(spark):
     assert quantiles.sketches(small, ["g"], ["v"]).select(quantiles.percentile("sketch", 0.5)).first()[0] == 0.149
     with pytest.raises(TypeError):
         quantiles.sketches(df, ["g"], ["g"])
+    with pytest.raises(Exception, match="another kind"):
+        quantiles.merged(quantiles.sketches(df, ["g"], ["x"]), [["g"]], kinds=("bigint",)).collect()
 
 
 def test_stored_days_merge_by_range(spark, tmp_path):
