@@ -117,6 +117,28 @@ def _not_skipped(parts: Column) -> Column:
     return ~F.arrays_overlap(F.transform(parts, lambda p: F.lower(p)), F.array(*[F.lit(s) for s in SKIPPED]))
 
 
+def is_manifest(text: Column) -> Column:
+    """Whether a package manifest can be read: a JSON object whose dependencies, if any, are objects."""
+    parts = [F.get_json_object(text, f"$.{name}") for name in ("dependencies", "devDependencies")]
+    objects = [part.isNull() | F.ltrim(part).startswith("{") for part in parts]
+    return F.coalesce(F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{") & objects[0] & objects[1], F.lit(False))
+
+
+def structure_warnings(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """What could not be read while build roots were detected: repo and message, each once, in order.
+
+    A package manifest that is no such JSON counts as one of npm without a test runner, and one that is too large, or no text, likewise; both are told. So are a Python
+    project file and native build files of Rust roots without a content.
+    """
+    asked = roots.where(F.col("manifest").isin("package.json", "pyproject.toml")).select(F.col("repo").alias("_repo"), F.concat("dir", F.lit("/"), "manifest").alias("_path"))
+    own = files.join(asked, (F.col("repo") == F.col("_repo")) & (F.col("path") == F.col("_path")), "left_semi")
+    size = F.lit(f"it is no text of at most {MAX_METADATA_BYTES} bytes")
+    broken = F.when(F.col("content").isNull(), size).when((_name(F.col("path")) == "package.json") & ~is_manifest(F.col("content")), F.lit("it is no valid manifest"))
+    told = own.select("repo", F.concat(F.lit("inspect "), "path", F.lit(": "), broken).alias("message"))
+    native = _below(files, roots.where("tool = 'cargo'")).where(_name(F.col("path")).isin("build.rs", "build.zig.zon") & F.col("content").isNull())
+    return told.unionByName(native.select("repo", F.concat(F.lit("inspect native dependency file "), "path", F.lit(": "), size).alias("message"))).where("message is not null").distinct().orderBy("repo", "message")
+
+
 def build_roots(files: DataFrame) -> DataFrame:
     """The root and its immediate subdirectories that hold a manifest, one row each.
 
@@ -147,7 +169,7 @@ def build_roots(files: DataFrame) -> DataFrame:
     package = F.from_json(F.col("meta")["package.json"], "dependencies map<string,string>, devDependencies map<string,string>")
     used = F.concat(F.coalesce(F.map_keys(package["dependencies"]), F.array().cast("array<string>")), F.coalesce(F.map_keys(package["devDependencies"]), F.array().cast("array<string>")))
     runner = F.coalesce(*[F.when(F.array_contains(used, r), F.lit(r)) for r in ("jest", "vitest", "mocha", "jasmine")], F.lit(""))
-    readable = F.try_parse_json(F.col("meta")["package.json"]).isNotNull()
+    readable = is_manifest(F.col("meta")["package.json"])
     tool = (
         F.when((F.col("first.name") == "package.json") & readable & F.col("yarn"), "yarn")
         .when((F.col("first.name") == "package.json") & readable & F.col("pnpm"), "pnpm")

@@ -181,6 +181,20 @@ def rs_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("repo", "is_monorepo", F.array_join(told, ",").alias("build_roots"))
 
 
+@registry.add(
+    "rs_01_warnings",
+    f"""select id as repo, 'inspect /js/package.json: ' || case when length(name) % 5 in (1, 2, 4) then 'it is no valid manifest' else 'it is no text of at most 1048576 bytes' end as message from user_repositories where name is not null and length(name) % 5 <> 0
+union all select repo, 'inspect native dependency file ' || dir || '/build.rs: it is no text of at most 1048576 bytes' from {_ROOTS} where language = 'Rust' and ascii(repo) % 2 = 0""",
+)
+def rs_01_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package manifests that are broken in three ways, or too large, and build scripts without a content."""
+    kinds = F.array(*[F.lit(t) for t in ('{"dependencies":{}}', "{broken", "[]")], F.lit(None).cast("string"), F.lit('{"devDependencies":[1]}'))
+    rows = read(spark, sf_dir, "user_repositories").where("name is not null").select(F.col("id").alias("repo"), F.lit("/js/package.json").alias("path"), F.element_at(kinds, (1 + F.length("name") % 5).cast("int")).alias("content"))
+    rust = folders(spark, sf_dir, {"build.rs": F.lit("")}).withColumn("content", F.when(~(F.col("path").endswith("/build.rs") & (F.ascii("repo") % 2 == 0)), F.col("content")))
+    files = rows.unionByName(rust.where("path like '/rs/%'"))
+    return structure.structure_warnings(files, structure.build_roots(files)).select("repo", "message")
+
+
 # --- scopes over the tables' paths ---------------------------------------------------------------------
 
 

@@ -55,10 +55,10 @@ def scan(spark: SparkSession, root: str, mode: str = "full", targets: list[str]
 
 
 def detect_structure(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Build roots, directories by purpose, entry points and native dependencies of a tree."""
+    """Build roots, directories by purpose, entry points and native dependencies of a tree, and warnings on what could not be read."""
     files = trees.metadata(trees.tree(spark, trees.open_local(root))).withColumn("repo", F.lit(root))
     roots = structure.build_roots(files)
     return {
         "build_roots": roots, "doc_dirs": structure.doc_dirs(files), "source_roots": structure.source_roots(files, roots), "test_dirs": structure.test_dirs(files, roots),
-        "entry_points": structure.entry_points(files, roots), "native_deps": structure.native_dependencies(files, roots),
+        "entry_points": structure.entry_points(files, roots), "native_deps": structure.native_dependencies(files, roots), "warnings": structure.structure_warnings(files, roots),
     }

@@ -93,6 +93,15 @@ def test_links_are_left_out(spark, tmp_path):
         trees.links(str(tmp_path / "missing"))
 
 
+def test_structure_warnings(spark):
+    data = [("a", "/package.json", "{broken"), ("b", "/package.json", "[]"), ("c", "/x/package.json", '{"dependencies": []}'), ("d", "/package.json", None), ("e", "/package.json", '{"devDependencies": {"jest": "1"}}'), ("f", "/go.mod", ""), ("f", "/package.json", "{broken"), ("g", "/pyproject.toml", None), ("h", "/Cargo.toml", ""), ("h", "/build.rs", None), ("h", "/build.rs", None)]
+    files = spark.createDataFrame(data, FILES)
+    roots = structure.build_roots(files)
+    told = [(r["repo"], r["message"].split(": ")[0]) for r in structure.structure_warnings(files, roots).collect()]
+    assert told == [("a", "inspect /package.json"), ("b", "inspect /package.json"), ("c", "inspect /x/package.json"), ("d", "inspect /package.json"), ("g", "inspect /pyproject.toml"), ("h", "inspect native dependency file /build.rs")]
+    assert {r["repo"]: (r["tool"], r["test_runner"]) for r in roots.where("manifest = 'package.json'").collect()} == {"a": ("npm", ""), "b": ("npm", ""), "c": ("npm", ""), "d": ("npm", ""), "e": ("npm", "jest")}
+
+
 def test_git_text(spark):
     lines = spark.createDataFrame([("a.go ",), ("",), ("  ",), ("a.go",), ("b.go",)], "value string")
     assert rows(churn(lines)) == [("a.go", 2), ("b.go", 1)] and changed_files(lines).count() == 3
