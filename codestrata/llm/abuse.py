@@ -37,9 +37,11 @@ BIAS = -3.0
 #: What a sentence's logit loses by the log of the number of sentences beside it; at 1 a document of harmless sentences scores the same whatever its length.
 LENGTH = 1.0
 FOLDS = 5
-#: Sentences and words that a scoring task remembers; bounds memory only.
+#: Sentences, with their characters, and words up to a length that a scoring task remembers; bounds memory only.
 KNOWN_SENTENCES = 50_000
+KNOWN_CHARACTERS = 8_000_000
 KNOWN_WORDS = 100_000
+KNOWN_LENGTH = 100
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 _LOOKALIKES = {
@@ -89,7 +91,6 @@ def _plain(text: str) -> str:
     return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", text)))
 
 
-@lru_cache(maxsize=KNOWN_WORDS)
 def _word(raw: str, cyrillic: bool) -> str:
     """A word without disguise: one script, no spelling out, no signs for letters, no stretching."""
     word = raw
@@ -146,7 +147,8 @@ def words_of(sentence: str) -> tuple[str, ...]:
     cyrillic = False
     if not text.isascii() and (other := len(_CYRILLIC.findall(text))):
         cyrillic = 2 * other > sum(map(str.isalpha, text))
-    parts = list(map(_cyrillic_token if cyrillic else _latin_token, text.split()))
+    tokens, known = text.split(), _cyrillic_token if cyrillic else _latin_token
+    parts = [known(t) if len(t) <= KNOWN_LENGTH else _token(t, cyrillic) for t in tokens] if len(text) > KNOWN_LENGTH else list(map(known, tokens))
     words = tuple(chain.from_iterable(parts))
     return _joined(parts, cyrillic) if "" in words else words
 
@@ -251,7 +253,7 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self._words, self._totals, self._sentences = Words(), [], {}
+        self._words, self._totals, self._sentences, self._held = Words(), [], {}, 0
 
     def dumps(self) -> str:
         return json.dumps({"bias": self.bias, "length": self.length, "weights": self.weights})
@@ -269,12 +271,13 @@ class Model:
         """What the words of sentences say, a number for each; sentences that are known are not computed again."""
         known = self._sentences
         new = list(dict.fromkeys(s for s in sentences if s not in known))
-        if len(known) + len(new) > KNOWN_SENTENCES:
+        if len(known) + len(new) > KNOWN_SENTENCES or self._held > KNOWN_CHARACTERS:
             self._forget()
             known = self._sentences
             new = list(dict.fromkeys(sentences))
         if new:
             words, totals = self._words, self._totals
+            self._held += sum(sum(map(len, s)) for s in new)
             numbers = [words.of(s) for s in new]
             totals += [(float(self._of(f).sum()), len(f)) for f in words.features[len(totals) :]]
             total, size = np.array([[sum(x) for x in zip(*(totals[n] for n in set(s)), strict=True)] or [0.0, 0] for s in numbers]).T
