@@ -1,13 +1,11 @@
-"""Paths, fingerprints and other text as expressions; what Catalyst can't state is an Arrow UDF."""
+"""Paths, fingerprints and other text as expressions."""
 
 from __future__ import annotations
 
 import posixpath
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def fingerprint(path: Column, kind: Column, rule: Column, snippet: Column) -> Column:
@@ -68,10 +66,9 @@ def relative_path(root: str, path: Column) -> Column:
     return F.when(full == base, ".").when(full.startswith(inside), F.substring(full, F.lit(len(inside) + 1), F.length(full))).otherwise(F.when(full.isNotNull(), ""))
 
 
-@F.pandas_udf(T.StringType())
-def one_decimal(values: pd.Series) -> pd.Series:
-    """``%.1f`` of the exact binary value, ties to even, as C does and the JVM does not."""
-    return values.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
+def one_decimal(value: Column | str) -> Column:
+    """``%.1f`` of the exact binary value, ties to even, as C does."""
+    return F.call_function("format_number", F.col(value) if isinstance(value, str) else value, F.lit("0.0"))
 
 
 def try_int(text: Column) -> Column:
